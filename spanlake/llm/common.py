@@ -58,3 +58,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, computed once each and forgotten together when there are too many."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from spanlake.llm import op4_sharding, op8_mixing, op10_licenses
+from spanlake.llm import op1_html, op3_fingerprints, op4_sharding, op5_quality, op6_neardup, op7_language, op8_mixing, op9_decontamination, op10_licenses
 
 QUERIES = {
+    "op1_html_line_blocks": op1_html.query,
+    "op3_iblt_fingerprints": op3_fingerprints.query,
     "op4_sampled_splitters": op4_sharding.query,
+    "op5_ftrl_quality": op5_quality.query,
+    "op6_setsketch_neardup": op6_neardup.query,
+    "op7_ecoc_language": op7_language.query,
     "op8_mix_sources": op8_mixing.query,
+    "op9_template_decontamination": op9_decontamination.query,
     "op10_license_scan": op10_licenses.query,
 }
 
