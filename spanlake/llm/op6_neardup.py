@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import WordHashes, broadcast_under, materialize, table
@@ -242,5 +242,19 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     return known.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"), F.col("rep").alias("class_id"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, that of its least id; rows without id stay. All columns stay."""
+    found = near_duplicates(docs).where("doc_id is not null and kept").groupBy(F.col("doc_id").alias("__id")).count()
+    ids = materialize(found)
+    same = F.col("doc_id") == F.col("__id")
+    once, often = ids.where("count = 1"), ids.where("count > 1")
+    kept = docs.join(once, same, "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if often.limit(1).count():  # rows that share an id: the one with the least text stands for them
+        w = Window.partitionBy("doc_id").orderBy("text")
+        first = docs.join(often, same, "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+        kept = kept.unionByName(first)
+    return kept
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

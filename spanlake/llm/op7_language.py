@@ -119,9 +119,9 @@ def train(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE):
 
 
 def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous and the columns named in keep, for every row of docs."""
+    """lang_pred, score, ambiguous of every row of docs, after the columns named in keep (as k0, k1, ...)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").cast("binary").alias("__text"), F.col("doc_id"), *keep)
+    rows = docs.select(F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -138,12 +138,19 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], [*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
                 at = end
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{schema}lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """docs without texts that are `und` or ambiguous; all columns stay, whatever their names."""
+    names = docs.columns
+    found = predict(docs, train(docs), *names).where((F.col("lang_pred") != UND) & ~F.col("ambiguous"))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    found = predict(docs, train(docs))
+    found = predict(docs, train(docs), "doc_id").withColumnRenamed("k0", "doc_id")
     return found.select("doc_id", F.coalesce(residue(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

@@ -111,5 +111,15 @@ def mix_documents(docs: DataFrame, *keep: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "quality", *keep)
 
 
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """Each row of docs as often as the mixture takes it. Rows with the same id and text are taken alike, as the most often
+    taken of them. All columns stay."""
+    key = F.xxhash64("text")
+    mixed = mix_documents(docs.withColumn("__hash", key), "__hash").where("copies > 0")
+    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__text")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__text", "__copies", "__copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))

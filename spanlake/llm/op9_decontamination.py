@@ -22,9 +22,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import materialize, table
+from spanlake.llm.common import broadcast_under, materialize, table
 
 WINDOW, PLAIN, SHARE, CONSISTENT, BLOCK = 5, 3, 0.5, 0.8, 200_000
+#: Dropped ids up to which their table is broadcast.
+BROADCAST_IDS = 1_000_000
 #: Units of measure, money and time that may follow a number.
 UNITS = frozenset(
     b"mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -202,6 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item; all columns stay. Rows with a null id stay."""
     held = materialize(leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__held")).distinct())
+    held = broadcast_under(held, BROADCAST_IDS)
     return docs.join(held, F.col("doc_id") == F.col("__held"), "left_anti")
 
 

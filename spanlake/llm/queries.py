@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanlake.llm import op1_html, op3_fingerprints, op4_sharding, op5_quality, op6_neardup, op7_language, op8_mixing, op9_decontamination, op10_licenses
+from spanlake.llm import op1_html, op2_lm, op3_fingerprints, op4_sharding, op5_quality, op6_neardup, op7_language, op8_mixing, op9_decontamination, op10_licenses
 
 QUERIES = {
     "op1_html_line_blocks": op1_html.query,
+    "op2_log_bilinear_lm": op2_lm.query,
     "op3_iblt_fingerprints": op3_fingerprints.query,
     "op4_sampled_splitters": op4_sharding.query,
     "op5_ftrl_quality": op5_quality.query,
