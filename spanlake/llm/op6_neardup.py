@@ -8,9 +8,11 @@ similarity of 0.75 or more, and the components of those links.
    pair misses all bands with a chance of 1e-6, at 0.8 of 1e-9.
 3. In each bucket every member is tried with the bucket's least id only, as many pairs as members. Verified links give
    first components.
-4. Buckets that still hold more than one component are tried again, each member with each member of another component.
-   So no pair that shares a bucket stays untried unless both are in one component already, and large groups of near
-   copies, which step 3 has joined, are never multiplied out.
+4. What the stars have missed is found by an exact join of all members' sets: with each set's shingles ordered by how many
+   members have them, rarest first, two sets that are similar enough share one among their first n - 0.75 n + 1, at places
+   that leave enough of both. Only pairs of different components count, and of each shingle's pairs only those with a
+   member outside its largest component. So large groups of near copies, which step 3 has joined, are never multiplied
+   out, nor are large groups of texts that are alike but not enough, whose rarest shingles are their own.
 5. A pair is tried cheaply first: by sizes (exact) and by the low bits of the registers (beyond five standard
    deviations only), then the joint likelihood of the registers estimates the similarity (same margin), then the whole
    sets are intersected. Only that last comparison makes a link.
@@ -208,6 +210,43 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
 
 
+def _tokens(batches) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            rep, n, shingles = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
+            tokens = np.frombuffer(b"".join(shingles), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, n)), pa.array(np.repeat(n, n)), pa.array(tokens)], ["rep", "n", "token"])
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """rep, n, token, place: the shingles by which a set can be found, places counted from 0 in order of rarity.
+
+    Shingles that no other member has stand first and are only counted."""
+    tokens = sets.select("rep", "n", "shingles").mapInArrow(_tokens, "rep long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("rep", "n")
+    met = tokens.join(shared, "token").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
+    return materialize(met.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)).select("rep", "n", "token", "place"))
+
+
+def _across(prefixes: DataFrame, traits: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs a < b of different components that share a shingle of their prefixes and may be similar enough."""
+    known = prefixes.join(traits.drop("n"), "rep").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    known = known.withColumn("component", F.coalesce("component", "rep"))
+    each = known.groupBy("token", "component").agg(F.count("*").alias("held"))
+    mixed = each.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("largest")).where("parts > 1").drop("parts")
+    mixed = materialize(known.join(mixed, "token"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep")))
+    # the first shingle that two sets share leaves at most this many to share: the rest after its place in either
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = rest * (NUMERATOR + DENOMINATOR) >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
+    pairs = mixed.where("component <> largest").alias("x").join(mixed.alias("y"), apart & enough & _possible("x", "y"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row."""
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -228,12 +267,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     links = _verified(stars, sets)
 
     joined = materialize(components(links))
-    placed = members.join(traits, "rep").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialize(placed.join(split, "band", "left_semi"))
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    untried = (F.col("x.rep") != F.col("x.pivot")) & (F.col("y.rep") != F.col("y.pivot"))
-    more = open_.alias("x").join(open_.alias("y"), across & untried & _possible("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = _across(_prefixes(sets), traits, joined).join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(materialize(more), sets))
 
     component = materialize(components(links))
