@@ -154,14 +154,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], bool]:
 
 
 def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(first line, end, highest window sum) from each surge to its dive: maximal runs of windows with text."""
+    """(first line, end, highest window sum) from each surge to its dive: maximal runs of windows with text, from the first
+    line to the last one that has any."""
     sums = [sum(lengths[max(0, i - window // 2) : i + window // 2 + 1]) for i in range(len(lengths))]
     found, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s > 0 and start is None:
             start = i
         elif s == 0 and start is not None:
-            found.append((start, i, max(sums[start:i])))
+            full = [k for k in range(start, i) if lengths[k]]
+            found.append((full[0], full[-1] + 1, max(sums[start:i])))
             start = None
     return found
 

@@ -106,7 +106,7 @@ def _fill(rows: DataFrame, size: str, source: str, order: list[str], passes: int
 
 def mix_documents(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, quality of every document, and the columns named in keep."""
-    rows = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), F.xxhash64("text").alias("text_hash"))
     mixed = mix(materialize(rows))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "quality", *keep)
 
