@@ -67,7 +67,7 @@ def clean_plan(rows: DataFrame, plan: str = "plan", query: str = "query") -> Dat
     empty = lambda name: F.array().cast(rows.schema[plan].dataType[name].dataType)
     predicates = clean_predicates(F.coalesce(p["evidence_predicates"], empty("evidence_predicates")))
     rules = clean_rules(F.coalesce(p["ordering"], empty("ordering")), F.transform(predicates, lambda x: x["id"]))
-    nonblank = lambda x: F.filter(F.transform(x, F.trim), lambda s: F.length(s) > 0)
+    nonblank = lambda x: F.filter(F.transform(x, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
     new = p.withField("target_event", F.when(text, F.coalesce(_filled(p["target_event"]), F.col(query))).otherwise(p["target_event"]))
     for name, default in TARGET_DEFAULTS.items():
         new = new.withField(name, F.when(text, F.coalesce(_filled(p[name]), F.lit(default))).otherwise(F.lit("")))

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
     return put
 
 
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
@@ -98,20 +98,20 @@ def win_multiscale(spark: SparkSession, sf: str) -> DataFrame:
     return windows.multiscale_chunks(b.recording(spark, sf)).select("scale", "idx", "chunk_id", "start", "end")
 
 
-@query(f"WITH {CHUNKS} SELECT p.scale AS parent_scale, p.chunk_id AS parent_id, c.chunk_id AS child_id, round(least(p.e, c.e) - greatest(p.s, c.s), 6) AS overlap FROM ch p JOIN ch c ON p.s < c.e AND p.e > c.s AND (p.scale, c.scale) IN (('coarse', 'medium'), ('medium', 'fine'))")
+@query(f"WITH {CHUNKS} SELECT p.scale AS parent_scale, p.chunk_id AS parent_id, c.chunk_id AS child_id, round(least(p.e, c.e) - greatest(p.s, c.s), 9) AS overlap FROM ch p JOIN ch c ON p.s < c.e AND p.e > c.s AND (p.scale, c.scale) IN (('coarse', 'medium'), ('medium', 'fine'))")
 def win_hierarchy_links(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(retrieval.chunk_links(windows.multiscale_chunks(b.recording(spark, sf))).drop("video_id"))
 
 
 @query(f"""WITH {CHUNKS}, l AS (SELECT p.chunk_id AS parent_id, c.chunk_id AS child_id, least(p.e, c.e) - greatest(p.s, c.s) AS overlap, CASE WHEN p.s <= (c.s + c.e) / 2 AND (c.s + c.e) / 2 <= p.e THEN 2 ELSE 3 END AS tier
  FROM ch p JOIN ch c ON p.s < c.e AND p.e > c.s AND (p.scale, c.scale) IN (('coarse', 'medium'), ('medium', 'fine'))), k AS (SELECT *, min(tier) OVER (PARTITION BY child_id) AS least_tier FROM l)
- SELECT parent_id, child_id, round(overlap, 6) AS overlap, tier, row_number() OVER (PARTITION BY child_id ORDER BY overlap DESC, parent_id) = 1 AS is_best FROM k WHERE tier = least_tier""")
+ SELECT parent_id, child_id, round(overlap, 9) AS overlap, tier, row_number() OVER (PARTITION BY child_id ORDER BY overlap DESC, parent_id) = 1 AS is_best FROM k WHERE tier = least_tier""")
 def win_best_parents(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(retrieval.best_parents(windows.multiscale_chunks(b.recording(spark, sf))).drop("video_id"))
 
 
 @query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity AS s, l_quantity + l_discount * 1000 + 1 AS e FROM lineitem), n AS (SELECT *, unnest(generate_series(0, CAST(greatest(0, ceil((e - s - 25) / 20)) AS BIGINT))) AS idx FROM g)
- SELECT l_orderkey, l_linenumber, idx, round(s + idx * 20::DOUBLE, 6) AS start, round(least(s + idx * 20::DOUBLE + 25, e), 6) AS \"end\" FROM n""")
+ SELECT l_orderkey, l_linenumber, idx, round(s + idx * 20::DOUBLE, 9) AS start, round(least(s + idx * 20::DOUBLE + 25, e), 9) AS \"end\" FROM n""")
 def win_verifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_discount") * 1000 + 1).alias("end"))
     return _rounded(windows.verifier_windows(rows).select("l_orderkey", "l_linenumber", "idx", "start", "end"))
@@ -126,18 +126,18 @@ def win_boundary_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT o_orderkey, o_totalprice / 1000 AS s, o_totalprice / 1000 + 20 + o_orderkey % 50 AS e, greatest(12::DOUBLE, (20 + o_orderkey % 50) / 2::DOUBLE) AS w FROM orders),
  n AS (SELECT *, greatest(0.25::DOUBLE, w / 2) AS st, unnest(generate_series(0, CAST(ceil(greatest(0, e - s - w) / greatest(0.25::DOUBLE, w / 2) - 1e-9) AS BIGINT))) AS i FROM g)
- SELECT DISTINCT o_orderkey, round(greatest(s, least(s + i * st, e - w)), 6) AS start, round(least(e, greatest(s, least(s + i * st, e - w)) + w), 6) AS \"end\" FROM n""")
+ SELECT DISTINCT o_orderkey, round(greatest(s, least(s + i * st, e - w)), 9) AS start, round(least(e, greatest(s, least(s + i * st, e - w)) + w), 9) AS \"end\" FROM n""")
 def win_child(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.read(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("s"), (F.col("o_totalprice") / 1000 + 20 + F.col("o_orderkey") % 50).alias("e"), F.greatest(F.lit(12.0), (20 + F.col("o_orderkey") % 50) / 2).alias("w"))
     return _rounded(rows.select("o_orderkey", F.explode(windows.child_windows(F.col("s"), F.col("e"), F.col("w"))).alias("c")).select("o_orderkey", "c.start", "c.end"))
 
 
-@query(f"WITH {HITS} SELECT video_id, event_id, channel, ranking, CAST(rank AS INTEGER) AS rank, round(importance, 6) AS importance, round(score, 6) AS score, round(s, 6) AS start, round(e, 6) AS \"end\" FROM r")
+@query(f"WITH {HITS} SELECT video_id, event_id, channel, ranking, CAST(rank AS INTEGER) AS rank, round(importance, 9) AS importance, round(score, 9) AS score, round(s, 9) AS start, round(e, 9) AS \"end\" FROM r")
 def hits_bind(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(b.hits(spark, sf).select("video_id", "event_id", "channel", "ranking", "rank", "importance", "score", "start", "end"))
 
 
-@query(f"WITH {CALIBRATED} SELECT video_id, event_id, round(calibrated, 6) AS calibrated FROM c")
+@query(f"WITH {CALIBRATED} SELECT video_id, event_id, round(calibrated, 9) AS calibrated FROM c")
 def rank_calibrate(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ev.calibrate(b.hits(spark, sf), KEYS).select("video_id", "event_id", "calibrated"))
 
@@ -146,12 +146,12 @@ def _binned(spark: SparkSession, sf: str) -> DataFrame:
     return ev.expand_bins(ev.calibrate(b.hits(spark, sf), KEYS).where("calibrated > 0").withColumn("duration", F.lit(b.DURATION)))
 
 
-@query(f"WITH {BINNED} SELECT video_id, event_id, bin_id, round(fraction, 6) AS overlap_fraction FROM b WHERE fraction > 0")
+@query(f"WITH {BINNED} SELECT video_id, event_id, bin_id, round(fraction, 9) AS overlap_fraction FROM b WHERE fraction > 0")
 def bin_expand(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_binned(spark, sf).select("video_id", "event_id", "bin_id", "overlap_fraction"))
 
 
-@query(f"WITH {NOISY} SELECT video_id, channel, ranking, bin_id, round(q, 6) AS q FROM q")
+@query(f"WITH {NOISY} SELECT video_id, channel, ranking, bin_id, round(q, 9) AS q FROM q")
 def noisy_or(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ev.noisy_or(_binned(spark, sf), KEYS).drop("hits"))
 
@@ -161,12 +161,12 @@ def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     return ev.channel_map(ev.noisy_or(_binned(spark, sf), KEYS), rankings, KEYS)
 
 
-@query(f"WITH {MAPPED} SELECT video_id, channel, bin_id, round(value, 6) AS value, support FROM m")
+@query(f"WITH {MAPPED} SELECT video_id, channel, bin_id, round(value, 9) AS value, support FROM m")
 def channel_map(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_mapped(spark, sf))
 
 
-@query(f"WITH {DENSE} SELECT video_id, channel, bin_id, round(value, 6) AS value FROM sm WHERE value > 0")
+@query(f"WITH {DENSE} SELECT video_id, channel, bin_id, round(value, 9) AS value FROM sm WHERE value > 0")
 def smooth(spark: SparkSession, sf: str) -> DataFrame:
     rows = ev.smooth(_mapped(spark, sf).select(*KEYS, "channel", "bin_id", "value", F.lit(360).alias("n_bins")), [*KEYS, "channel"])
     return _rounded(rows.where("value > 0").select(*KEYS, "channel", "bin_id", "value"))
@@ -176,22 +176,22 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return ev.evidence_map(b.hits(spark, sf), b.videos(spark, sf), b.WEIGHTS, KEYS)
 
 
-@query(f"WITH {EVIDENCE} SELECT video_id, bin_id, s AS start, e AS \"end\", round(score, 6) AS score, round(coalesce(ch_video, 0), 6) AS ch_video, round(coalesce(ch_negative, 0), 6) AS ch_negative, coalesce(sup_video, 0) AS sup_video FROM ev")
+@query(f"WITH {EVIDENCE} SELECT video_id, bin_id, s AS start, e AS \"end\", round(score, 9) AS score, round(coalesce(ch_video, 0), 9) AS ch_video, round(coalesce(ch_negative, 0), 9) AS ch_negative, coalesce(sup_video, 0) AS sup_video FROM ev")
 def evidence_map(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_evidence(spark, sf).select("video_id", "bin_id", "start", "end", "score", "ch_video", "ch_negative", "sup_video"))
 
 
-@query(f"WITH {EVIDENCE} SELECT video_id, round(max(score), 6) AS peak FROM ev GROUP BY video_id")
+@query(f"WITH {EVIDENCE} SELECT video_id, round(max(score), 9) AS peak FROM ev GROUP BY video_id")
 def evidence_peak(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ev.evidence_peak(_evidence(spark, sf), KEYS))
 
 
-@query(f"WITH {EVIDENCE}, t AS (SELECT video_id, round(score, 6) AS score, bin_id, row_number() OVER (PARTITION BY video_id ORDER BY round(score, 6) DESC, bin_id) AS place FROM ev) SELECT video_id, bin_id, score, CAST(place AS INTEGER) AS place FROM t WHERE place <= 20")
+@query(f"WITH {EVIDENCE}, t AS (SELECT video_id, round(score, 9) AS score, bin_id, row_number() OVER (PARTITION BY video_id ORDER BY round(score, 9) DESC, bin_id) AS place FROM ev) SELECT video_id, bin_id, score, CAST(place AS INTEGER) AS place FROM t WHERE place <= 20")
 def evidence_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ev.top_bins(_rounded(_evidence(spark, sf).select("video_id", "bin_id", "score")), 20, KEYS).select("video_id", "bin_id", "score", "place")
 
 
-@query(f"WITH {EVIDENCE} SELECT video_id, CAST(bin_id // 4 AS BIGINT) AS bucket, min(s) AS start, max(e) AS \"end\", round(max(score), 6) AS score FROM ev GROUP BY video_id, bin_id // 4")
+@query(f"WITH {EVIDENCE} SELECT video_id, CAST(bin_id // 4 AS BIGINT) AS bucket, min(s) AS start, max(e) AS \"end\", round(max(score), 9) AS score FROM ev GROUP BY video_id, bin_id // 4")
 def downsample_max(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ev.downsample(_evidence(spark, sf).select("video_id", "bin_id", "start", "end", "score"), 100, KEYS))
 
@@ -200,13 +200,13 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
     return cd.candidates_from_evidence(_evidence(spark, sf), b.videos(spark, sf), KEYS)
 
 
-@query(f"WITH {REGIONS} SELECT video_id, candidate_id, round(s, 6) AS start, round(e, 6) AS \"end\", round(score, 6) AS score, round(mass, 6) AS evidence_mass, bins AS num_supporting_bins FROM cand")
+@query(f"WITH {REGIONS} SELECT video_id, candidate_id, round(s, 9) AS start, round(e, 9) AS \"end\", round(score, 9) AS score, round(mass, 9) AS evidence_mass, bins AS num_supporting_bins FROM cand")
 def candidate_islands(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_regions(spark, sf).select("video_id", "candidate_id", "start", "end", "score", "evidence_mass", "num_supporting_bins"))
 
 
 @query(f"""WITH {REGIONS}, met AS (SELECT cand.video_id, candidate_id, list(ev.score ORDER BY ev.score DESC) AS l FROM cand JOIN ev ON cand.video_id = ev.video_id AND ev.e > cand.s AND ev.s < cand.e GROUP BY ALL)
- SELECT video_id, candidate_id, round(0.55::DOUBLE * l[1] + 0.35::DOUBLE * list_avg(l[1:greatest(1, CAST(ceil(len(l) * 0.25::DOUBLE) AS BIGINT))]) + 0.1::DOUBLE * list_avg(l), 6) AS window_score, CAST(len(l) AS BIGINT) AS support_bins FROM met""")
+ SELECT video_id, candidate_id, round(0.55::DOUBLE * l[1] + 0.35::DOUBLE * list_avg(l[1:greatest(1, CAST(ceil(len(l) * 0.25::DOUBLE) AS BIGINT))]) + 0.1::DOUBLE * list_avg(l), 9) AS window_score, CAST(len(l) AS BIGINT) AS support_bins FROM met""")
 def window_score(spark: SparkSession, sf: str) -> DataFrame:
     regions = _regions(spark, sf).select("video_id", "candidate_id", "start", "end")
     return _rounded(cd.window_scores(regions, _evidence(spark, sf), KEYS).select("video_id", "candidate_id", "window_score", "support_bins"))
@@ -216,14 +216,14 @@ FUSED = HITS + """, fu AS (SELECT video_id, CAST(floor((s + e) / 2 / 5) AS BIGIN
  FROM r WHERE channel <> 'negative' GROUP BY ALL)"""
 
 
-@query(f"WITH {FUSED} SELECT video_id, bin_id, round(score, 6) AS score, n AS num_hits FROM fu")
+@query(f"WITH {FUSED} SELECT video_id, bin_id, round(score, 9) AS score, n AS num_hits FROM fu")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(cd.fuse_ranks(b.hits(spark, sf), b.WEIGHTS, KEYS).select("video_id", "bin_id", "score", "num_hits"))
 
 
 @query(f"""WITH {FUSED}, st AS (SELECT fu.*, greatest(0::DOUBLE, bin_id * 5 - 2.5::DOUBLE) AS s, bin_id * 5 + 2.5::DOUBLE AS e FROM fu JOIN (SELECT video_id, max(score) AS best FROM fu GROUP BY ALL) USING (video_id) WHERE score >= best * 0.05::DOUBLE),
  i0 AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY video_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 10 THEN 1 ELSE 0 END AS new FROM st), i1 AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY s) AS island FROM i0)
- SELECT video_id, round(greatest(0, min(s) - 10), 6) AS start, round(least(720, max(e) + 10), 6) AS \"end\", round(max(score), 6) AS score, round(sum(score), 6) AS fusion_mass, count(*) AS num_supporting_hits FROM i1 GROUP BY video_id, island""")
+ SELECT video_id, round(greatest(0, min(s) - 10), 9) AS start, round(least(720, max(e) + 10), 9) AS \"end\", round(max(score), 9) AS score, round(sum(score), 9) AS fusion_mass, count(*) AS num_supporting_hits FROM i1 GROUP BY video_id, island""")
 def rrf_cluster(spark: SparkSession, sf: str) -> DataFrame:
     fused = cd.fuse_ranks(b.hits(spark, sf), b.WEIGHTS, KEYS)
     return _rounded(cd.cluster_fused(fused, b.videos(spark, sf), KEYS).select("video_id", "start", "end", "score", "fusion_mass", "num_supporting_hits"))
@@ -233,18 +233,18 @@ PEAKS = REGIONS + """, pk0 AS (SELECT cand.video_id, candidate_id, cand.score AS
  row_number() OVER (PARTITION BY cand.video_id, candidate_id, ranking ORDER BY r.score DESC, (r.s + r.e) / 2) AS rn FROM cand JOIN r ON cand.video_id = r.video_id AND (r.s + r.e) / 2 >= cand.s AND (r.s + r.e) / 2 < cand.e), pk AS (SELECT * FROM pk0 WHERE rn = 1)"""
 
 
-@query(f"WITH {PEAKS} SELECT video_id, candidate_id, predicate_id, round(peak, 6) AS peak, round(hs, 6) AS peak_score FROM pk")
+@query(f"WITH {PEAKS} SELECT video_id, candidate_id, predicate_id, round(peak, 9) AS peak, round(hs, 9) AS peak_score FROM pk")
 def predicate_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(cd.predicate_peaks(b.hits(spark, sf), _regions(spark, sf), KEYS))
 
 
 @query(f"""WITH {PEAKS}, ru AS (SELECT * FROM (VALUES ('p0', 'p1'), ('p2', 'p3'), ('p1', 'p9')) AS t(a, z)), sc AS (SELECT x.video_id, x.candidate_id, count(*) FILTER (x.peak <= y.peak) AS sat, count(*) FILTER (x.peak > y.peak) AS vio
  FROM pk x JOIN ru ON x.predicate_id = a JOIN pk y ON y.video_id = x.video_id AND y.candidate_id = x.candidate_id AND y.predicate_id = z GROUP BY ALL)
- SELECT video_id, round(s, 6) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)), 6) AS score, sat AS ordering_satisfied, vio AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
+ SELECT video_id, round(s, 9) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)), 7) AS score, coalesce(sat, 0) AS ordering_satisfied, coalesce(vio, 0) AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
 def ordering_rerank(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("p0", "p1"), ("p2", "p3"), ("p1", "p9")], "first string, then string").join(b.videos(spark, sf).select("video_id"))
     out = cd.apply_ordering(_regions(spark, sf), b.hits(spark, sf), rules, KEYS, KEYS)
-    return _rounded(out.select("video_id", "start", "score", "ordering_satisfied", "ordering_violated"))
+    return _rounded(out.na.fill(0, ["ordering_satisfied", "ordering_violated"]).select("video_id", "start", F.round("score", 7).alias("score"), "ordering_satisfied", "ordering_violated"))
 
 
 @query()
@@ -273,7 +273,7 @@ def dedupe_instances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 5) q),
- t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 50""")
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 50""")
 def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     items = b.read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     return _rounded(retrieval.knn(b.vector_queries(spark, sf), items, 50, "item_id").select("query_id", "item_id", "score", "rank"))
@@ -283,7 +283,7 @@ VIEWS = "v AS (SELECT vec_id, unnest(generate_series(0, 3)) AS view, embedding::
 
 
 @query(f"""WITH {VIEWS}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, max(list_dot_product(v.x[view * 16 + 1:view * 16 + 16], q.embedding[1:16]::DOUBLE[])) AS score FROM v, (SELECT * FROM embeddings WHERE vec_id < 5) q GROUP BY ALL),
- t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 20""")
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 20""")
 def view_max(spark: SparkSession, sf: str) -> DataFrame:
     views = F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)])
     items = b.read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), views.alias("views"))
@@ -295,7 +295,7 @@ POOLED = CHUNKS + """, fr AS (SELECT vec_id * 4::DOUBLE AS t, unnest(generate_se
  me AS (SELECT scale, chunk_id, s, e, d, avg(x) AS x FROM ch JOIN fr ON t >= s AND t < e GROUP BY ALL), no AS (SELECT chunk_id, sqrt(sum(x * x)) AS n FROM me GROUP BY ALL), po AS (SELECT scale, chunk_id, s, e, d, x / n AS x FROM me JOIN no USING (chunk_id))"""
 
 
-@query(f"WITH {POOLED} SELECT chunk_id, round(x, 6) AS x0 FROM po WHERE d = 1")
+@query(f"WITH {POOLED} SELECT chunk_id, round(x, 9) AS x0 FROM po WHERE d = 1")
 def pool_interval(spark: SparkSession, sf: str) -> DataFrame:
     chunks = windows.multiscale_chunks(b.recording(spark, sf))
     pooled = retrieval.pool_intervals(chunks, b.frames(spark, sf))
@@ -303,7 +303,7 @@ def pool_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT vec_id AS i, vec_id * 4 + 1.5::DOUBLE AS s, vec_id * 4 + 2.5::DOUBLE AS e FROM embeddings), n AS (SELECT c.i, v.vec_id, row_number() OVER (PARTITION BY c.i ORDER BY abs(v.vec_id * 4 - (s + e) / 2), v.vec_id) AS rn, v.embedding[1]::DOUBLE / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS x
- FROM c JOIN embeddings v ON abs(v.vec_id * 4 - (s + e) / 2) <= 8) SELECT CAST(i AS VARCHAR) AS chunk_id, round(x, 6) AS x0 FROM n WHERE rn = 1""")
+ FROM c JOIN embeddings v ON abs(v.vec_id * 4 - (s + e) / 2) <= 8) SELECT CAST(i AS VARCHAR) AS chunk_id, round(x, 9) AS x0 FROM n WHERE rn = 1""")
 def nearest_frame_fallback(spark: SparkSession, sf: str) -> DataFrame:
     chunks = b.read(spark, sf, "embeddings").select(F.lit("v0").alias("video_id"), F.col("vec_id").cast("string").alias("chunk_id"), (F.col("vec_id") * 4 + 1.5).alias("start"), (F.col("vec_id") * 4 + 2.5).alias("end"))
     return _rounded(retrieval.pool_intervals(chunks, b.frames(spark, sf)).select("chunk_id", F.element_at("vec", 1).alias("x0")))
@@ -316,7 +316,7 @@ _LEVEL = """, {b}0 AS (SELECT d.query_id, d.chunk_id, d.s, d.e, 0.7::DOUBLE * an
 
 @query(f"""WITH {POOLED}, qv AS (SELECT vec_id AS query_id, unnest(generate_series(1, 64)) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id < 5), di AS (SELECT query_id, scale, chunk_id, s, e, sum(x * y) AS direct FROM po JOIN qv USING (d) GROUP BY ALL),
  coarse_ AS (SELECT query_id, chunk_id, s, e, direct AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(direct, 9) DESC, chunk_id) - 1 AS rank FROM di WHERE scale = 'coarse') WHERE rank < 24)
- {_LEVEL.format(a="coarse_", b="medium")}{_LEVEL.format(a="medium_", b="fine")} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fine_ WHERE rank < 5""")
+ {_LEVEL.format(a="coarse_", b="medium")}{_LEVEL.format(a="medium_", b="fine")} SELECT query_id, chunk_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fine_ WHERE rank < 5""")
 def hierarchical_search(spark: SparkSession, sf: str) -> DataFrame:
     chunks = windows.multiscale_chunks(b.recording(spark, sf))
     vectors = retrieval.pool_intervals(chunks, b.frames(spark, sf)).select("video_id", "chunk_id", "vec")
@@ -334,7 +334,7 @@ def tokenise(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.term_counts(b.read(spark, sf, "documents")).groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
 
 
-@query(f"WITH {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {IDF} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = b.read(spark, sf, "documents")
     return _rounded(retrieval.bm25_stats(retrieval.term_counts(docs), docs)[0])
@@ -367,10 +367,10 @@ def speech_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.speech_between(marks, segments).select("video_id", "interval_id", F.col("text").cast("long").alias("turn"), "from_second", "to_second")
 
 
-@query("""WITH v AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'view') SELECT p.event_id, v.event_id AS view_id, round(v.value, 6) AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+@query("""WITH v AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'view') SELECT p.event_id, v.event_id AS view_id, round(v.value, 9) AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def asof_bin(spark: SparkSession, sf: str) -> DataFrame:
     e = b.read(spark, sf, "events")
-    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.round("value", 6).alias("view_value"))
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.round("value", 9).alias("view_value"))
     return asof_join(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), views, ["user_id"], "ts", "view_ts", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
 
 
@@ -382,7 +382,7 @@ def search_text(spark: SparkSession, sf: str) -> DataFrame:
     return b.read(spark, sf, "documents").where(F.size(tokens) > 0).select("doc_id", tx.scene_text(scene).alias("search_text"))
 
 
-@query(r"SELECT page_id, regexp_replace(upper(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\p{L}\p{N}]', '', 'g') AS key, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]', '', 'g') AS answer FROM pages")
+@query(r"SELECT page_id, regexp_replace(upper(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), 'ß', 'ss')), '[^\p{L}\p{N}]', '', 'g') AS key, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]', '', 'g') AS answer FROM pages")
 def ocr_key(spark: SparkSession, sf: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return b.read(spark, sf, "pages").select("page_id", tx.comparison_key(title).alias("key"), tx.answer_key(title).alias("answer"))
@@ -409,14 +409,14 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT source, doc_id AS position, trim(coalesce(regexp_extract(text, '^\S+', 0), '')) AS q, (doc_id % 7) / 7::DOUBLE AS importance FROM documents), f AS (SELECT * FROM s WHERE q <> ''), r AS (SELECT *, min(position) OVER (PARTITION BY source, lower(q)) AS p, row_number() OVER (PARTITION BY source, lower(q) ORDER BY importance DESC, position) AS rn FROM f)
- SELECT source, p AS position, q AS query, round(importance, 6) AS importance FROM r WHERE rn = 1""")
+ SELECT source, p AS position, q AS query, round(importance, 9) AS importance FROM r WHERE rn = 1""")
 def spec_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.read(spark, sf, "documents").select("source", F.col("doc_id").alias("position"), F.regexp_extract("text", r"^\S+", 0).alias("query"), (F.col("doc_id") % 7 / 7).alias("importance"))
     return _rounded(specs.dedupe_specs(rows.where("query is not null"), ["source"]).select("source", "position", "query", "importance"))
 
 
 @query("""WITH w AS (SELECT p_partkey, greatest(0, p_size - 25)::DOUBLE AS a, greatest(0, p_partkey % 5 - 2)::DOUBLE AS c, 0::DOUBLE AS d, greatest(0, p_partkey % 3 - 1)::DOUBLE AS f FROM part)
- SELECT p_partkey, round(CASE WHEN a + c + d + f > 0 THEN a / (a + c + d + f) ELSE 0.5 END, 6) AS video, round(CASE WHEN a + c + d + f > 0 THEN c / (a + c + d + f) ELSE 0.5 END, 6) AS metadata, round(CASE WHEN a + c + d + f > 0 THEN f / (a + c + d + f) ELSE 0 END, 6) AS transcript_bm25 FROM w""")
+ SELECT p_partkey, round(CASE WHEN a + c + d + f > 0 THEN a / (a + c + d + f) ELSE 0.5 END, 9) AS video, round(CASE WHEN a + c + d + f > 0 THEN c / (a + c + d + f) ELSE 0.5 END, 9) AS metadata, round(CASE WHEN a + c + d + f > 0 THEN f / (a + c + d + f) ELSE 0 END, 9) AS transcript_bm25 FROM w""")
 def weight_normalise(spark: SparkSession, sf: str) -> DataFrame:
     w = specs.normalize_weights({"video": F.col("p_size") - 25, "metadata": F.col("p_partkey") % 5 - 2, "transcript_semantic": F.lit(0), "transcript_bm25": F.col("p_partkey") % 3 - 1})
     return _rounded(b.read(spark, sf, "part").select("p_partkey", *[w[k].alias(k) for k in ("video", "metadata", "transcript_bm25")]))
@@ -442,12 +442,12 @@ def query_hash(spark: SparkSession, sf: str) -> DataFrame:
     return b.read(spark, sf, "benchmark").select("item_id", iv.query_folder(F.col("text")).alias("query_folder"))
 
 
-@query("WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(x, x)), 6) AS norm, round(x[1] / sqrt(list_dot_product(x, x)), 6) AS x0 FROM d")
+@query("WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(x, x)), 9) AS norm, round(x[1] / sqrt(list_dot_product(x, x)), 9) AS x0 FROM d")
 def vector_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(b.read(spark, sf, "embeddings").select("vec_id", vc.norm(F.col("embedding")).alias("norm"), F.element_at(vc.normalize(F.col("embedding")), 1).alias("x0")))
 
 
-@query(f"""WITH {REGIONS}, la AS (SELECT candidate_id, s, e, video_id, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, s) AS rn FROM cand) SELECT video_id, round(s, 6) AS start, round(e, 6) AS \"end\", round(score, 6) AS confidence FROM la WHERE rn = 1""")
+@query(f"""WITH {REGIONS}, la AS (SELECT candidate_id, s, e, video_id, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, s) AS rn FROM cand) SELECT video_id, round(s, 9) AS start, round(e, 9) AS \"end\", round(score, 9) AS confidence FROM la WHERE rn = 1""")
 def best_mode(spark: SparkSession, sf: str) -> DataFrame:
     from spanlake.operators.verify import best_only
 
