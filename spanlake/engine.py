@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.operators import candidates as c
 from spanlake.operators import evidence as e
 from spanlake.operators import folds, refine, verify
+from spanlake.sources.scratch import materialize
 from spanlake.sources.tables import number_matches
 
 
@@ -33,7 +34,7 @@ def search(hits: DataFrame, videos: DataFrame, settings: SearchSettings = Search
     refined candidates themselves, unverified.
 
     hits: schema.HITS (ranked); videos: keys, duration, one row for each query and video that is searched."""
-    timeline = e.evidence_map(hits, videos, settings.weights, keys, settings.bin_size, settings.smoothing)
+    timeline = materialize(e.evidence_map(hits, videos, settings.weights, keys, settings.bin_size, settings.smoothing))
     relative = 0.15 if settings.best_only else 0.05
     regions = c.candidates_from_evidence(timeline, videos, keys, settings.gap, settings.padding, relative)
     leaves = refine.refine_candidates(regions, timeline, videos, keys, settings.bin_size, settings.expected_max, best_only=settings.best_only)

@@ -36,9 +36,9 @@ def _regions(rows: DataFrame, videos: DataFrame, keys: list[str], gap: float, pa
 
 def candidates_from_evidence(evidence: DataFrame, videos: DataFrame, keys: list[str] = KEYS, gap: float = 10.0, padding: float = 10.0, relative: float = 0.05, absolute: float = 0.02) -> DataFrame:
     """Regions of bins that reach the floor min(best, max(absolute, best * relative)); none where the best is 0."""
-    best = evidence.groupBy(*keys).agg(F.max("score").alias("__best")).where("__best > 0")
+    best = F.max("score").over(Window.partitionBy(*keys))
     floor = F.least("__best", F.greatest(F.lit(absolute), F.col("__best") * relative))
-    strong = evidence.join(best, keys).where(F.col("score") >= floor)
+    strong = evidence.withColumn("__best", best).where((F.col("__best") > 0) & (F.col("score") >= floor))
     return _regions(strong, videos, keys, gap, padding, "evidence_mass", "num_supporting_bins").withColumn("search_stage", F.lit("evidence_component"))
 
 

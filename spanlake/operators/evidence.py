@@ -62,24 +62,26 @@ def noisy_or(binned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return binned.groupBy(*keys, "channel", "ranking", "bin_id").agg((1 - F.product(1 - contribution)).alias("q"), F.count("*").alias("hits"))
 
 
-def channel_map(ranked: DataFrame, rankings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def channel_map(ranked: DataFrame, rankings: DataFrame, keys: list[str] = KEYS, *keep: str) -> DataFrame:
     """Of noisy_or's rows: value = 0.8 peak + 0.2 mean over the channel's rankings, support = rankings above 0.05.
 
-    rankings: keys, channel, n_rankings, counting every ranking that has a hit, wherever it lies."""
+    rankings: keys, channel, n_rankings, counting every ranking that has a hit, wherever it lies, and the columns of keep."""
     sums = ranked.groupBy(*keys, "channel", "bin_id").agg(F.max("q").alias("peak"), F.sum("q").alias("total"), F.count(F.when(F.col("q") > SUPPORTED, 1)).alias("support"))
     value = PEAK_SHARE * F.col("peak") + (1 - PEAK_SHARE) * F.col("total") / F.col("n_rankings")
-    return sums.join(rankings, [*keys, "channel"]).select(*keys, "channel", "bin_id", value.alias("value"), "support")
+    return sums.join(rankings, [*keys, "channel"]).select(*keys, "channel", *keep, "bin_id", value.alias("value"), "support")
 
 
-def smooth(series: DataFrame, keys: list[str], value: str = "value", n: str = "n_bins", radius: int = 1) -> DataFrame:
+def smooth(series: DataFrame, keys: list[str], value: str = "value", n: str = "n_bins", radius: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Triangular mean of a sparse series over bins 0..n-1: each bin gives radius+1-distance parts to its neighbours, and
-    each neighbour divides by the parts that reach it. A series needs no window and no dense form for that."""
-    if radius <= 0:
-        return series
+    each neighbour divides by the parts that reach it. A series needs no window and no dense form for that.
+
+    carry: columns that stay in their own bins."""
+    radius = max(0, int(radius))
     offsets = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(radius + 1 - abs(d))).alias("w")) for d in range(-radius, radius + 1)])
     given = series.withColumn("__o", F.explode(offsets)).withColumn("__to", F.col("bin_id") + F.col("__o.d"))
     given = given.where((F.col("__to") >= 0) & (F.col("__to") < F.col(n)))
-    sums = given.groupBy(*keys, n, F.col("__to").alias("bin_id")).agg(F.sum(F.col("__o.w") * F.col(value)).alias(value))
+    own = [F.sum(F.when(F.col("__o.d") == 0, F.col(c)).otherwise(0)).alias(c) for c in carry]
+    sums = given.groupBy(*keys, n, F.col("__to").alias("bin_id")).agg(F.sum(F.col("__o.w") * F.col(value)).alias(value), *own)
     reach = reduce(Column.__add__, [F.when((F.col("bin_id") + d >= 0) & (F.col("bin_id") + d < F.col(n)), float(radius + 1 - abs(d))).otherwise(0.0) for d in range(-radius, radius + 1)])
     return sums.withColumn(value, F.col(value) / reach)
 
@@ -100,15 +102,12 @@ def evidence_map(hits: DataFrame, videos: DataFrame, weights: dict[str, float],
     size = max(0.1, float(size))
     mapped = (*CHANNELS, NEGATIVE)
     known = hits.where(F.col("channel").isin(*mapped)).join(videos.select(*keys, "duration"), keys)
-    # every ranking is counted with the hits' own pass: a row of no bin keeps those whose hits all lie outside
     ranked = noisy_or(expand_bins(calibrate(known, keys, pad_to).where("calibrated > 0"), size), keys)
-    rankings = known.groupBy(*keys, "channel").agg(F.countDistinct("ranking").alias("n_rankings"))
-    maps = channel_map(ranked, rankings, keys)
-    n = F.greatest(F.lit(1), F.ceil(F.col("duration") / size)).cast("long")
-    sized = maps.join(videos.select(*keys, n.alias("n_bins")), keys)
-    smoothed = smooth(sized.select(*keys, "channel", "n_bins", "bin_id", "value"), [*keys, "channel"], radius=smoothing)
-    both = smoothed.select(*keys, "bin_id", "channel", "value", F.lit(0).cast("long").alias("support")).unionByName(maps.select(*keys, "bin_id", "channel", F.lit(0.0).alias("value"), "support"))
-    wide = both.groupBy(*keys, "bin_id").agg(
+    n = F.greatest(F.lit(1), F.ceil(F.col("duration") / size)).cast("long").alias("n_bins")
+    # counted before any hit is left out: a ranking whose hits all lie outside the bins is one of the mean's parts
+    rankings = known.groupBy(*keys, "channel", n).agg(F.countDistinct("ranking").alias("n_rankings"))
+    smoothed = smooth(channel_map(ranked, rankings, keys, "n_bins"), [*keys, "channel"], radius=smoothing, carry=("support",))
+    wide = smoothed.groupBy(*keys, "bin_id").agg(
         *[F.sum(F.when(F.col("channel") == c, F.col("value"))).alias(f"ch_{c}") for c in mapped],
         *[F.sum(F.when(F.col("channel") == c, F.col("support"))).alias(f"sup_{c}") for c in CHANNELS],
     )

@@ -6,8 +6,6 @@ expressions on arrays and an explode: no shuffle until the leaves of one query a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +38,25 @@ def refine_candidates(
     target = max(float(least), 1.5 * max(0.0, expected_max))
     most = 1 if best_only else max(1, int(children))
     series = evidence.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "score"))), lambda b: b["score"]).alias("__scores"))
-    nodes = candidates.join(series, keys).select(*keys, F.col("candidate_id").alias("recursive_root_id"), "start", "end", F.greatest("score", _value(F.col("start"), F.col("end"), size)).alias("score"), "__scores", F.array().cast(f"array<{STEP}>").alias("recursive_history"))
-    leaves = []
-    for level in range(depth + 1):
-        width = F.col("end") - F.col("start")
+    nodes = candidates.join(series, keys).select(
+        *keys, F.col("candidate_id").alias("recursive_root_id"), "__scores",
+        F.struct(F.col("start"), F.col("end"), F.greatest("score", _value(F.col("start"), F.col("end"), size)).alias("score"), F.lit(0).alias("depth"), F.lit(False).alias("leaf"), F.array().cast(f"array<{STEP}>").alias("history")).alias("n"),
+    )
+    for level in range(depth):
+        n = F.col("n")
+        width = n["end"] - n["start"]
         child = F.greatest(F.lit(target), width * shrink)
-        ends_here = F.lit(level == depth) | (width <= target * 1.05) | (child >= width * 0.98)
-        windows = F.transform(child_windows(F.col("start"), F.col("end"), child, overlap), lambda w: F.struct((-_value(w["start"], w["end"], size)).alias("loss"), w["start"].alias("start"), w["end"].alias("end")))
-        nodes = nodes.withColumn("__w", F.when(~ends_here, F.array_sort(windows)))
-        top = -F.element_at("__w", 1)["loss"]
-        strong = F.filter("__w", lambda w: -w["loss"] >= top * relative)
+        ends_here = n["leaf"] | (width <= target * 1.05) | (child >= width * 0.98)
+        windows = F.transform(child_windows(n["start"], n["end"], child, overlap), lambda w: F.struct((-_value(w["start"], w["end"], size)).alias("loss"), w["start"].alias("start"), w["end"].alias("end")))
+        nodes = nodes.withColumn("w", F.when(~ends_here, F.array_sort(windows)))
+        top = -F.element_at("w", 1)["loss"]
+        strong = F.filter("w", lambda w: -w["loss"] >= top * relative)
         apart = F.aggregate(strong, F.slice(strong, 1, 0), lambda kept, w: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: iou(k["start"], k["end"], w["start"], w["end"]) > 0.85), kept).otherwise(F.concat(kept, F.array(w))))
-        nodes = nodes.withColumn("__next", F.when(F.col("__w").isNotNull() & (top > 0), apart)).drop("__w")
-        leaves.append(nodes.where("__next is null").withColumn("recursive_depth", F.lit(level)).drop("__next"))
-        if level < depth:
-            nodes = nodes.where("__next is not null").withColumn("__c", F.explode("__next"))
-            step = F.struct(F.lit(level + 1).alias("depth"), F.col("start").alias("parent_start"), F.col("end").alias("parent_end"), F.col("__c.start").alias("child_start"), F.col("__c.end").alias("child_end"), (-F.col("__c.loss")).alias("child_score"))
-            nodes = nodes.select(*keys, "recursive_root_id", F.col("__c.start").alias("start"), F.col("__c.end").alias("end"), (-F.col("__c.loss")).alias("score"), "__scores", F.concat("recursive_history", F.array(step)).alias("recursive_history"))
-    found = reduce(DataFrame.unionByName, leaves)
+        step = lambda w: F.struct(F.lit(level + 1).alias("depth"), n["start"].alias("parent_start"), n["end"].alias("parent_end"), w["start"].alias("child_start"), w["end"].alias("child_end"), (-w["loss"]).alias("child_score"))  # noqa: B023, E731
+        down = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (-w["loss"]).alias("score"), F.lit(level + 1).alias("depth"), F.lit(False).alias("leaf"), F.concat(n["history"], F.array(step(w))).alias("history")))
+        # (the functions run here and now, in this level) a leaf goes on as it is: one lineage for all levels, nothing is computed twice
+        nodes = nodes.select(*keys, "recursive_root_id", "__scores", F.explode(F.when(F.col("w").isNotNull() & (top > 0), down).otherwise(F.array(n.withField("leaf", F.lit(True))))).alias("n"))
+    found = nodes.select(*keys, "recursive_root_id", "__scores", "n.start", "n.end", "n.score", F.col("n.depth").alias("recursive_depth"), F.col("n.history").alias("recursive_history"))
     lo, hi = F.floor(F.col("start") / size), F.least(F.size("__scores"), F.ceil(F.col("end") / size))
     found = found.withColumn("recursive_support_bins", F.greatest(F.lit(0), hi - lo).cast("long")).drop("__scores")
     padded = found.join(videos.select(*keys, "duration"), keys).withColumns({"start": F.greatest(F.lit(0.0), F.col("start") - padding), "end": F.least("duration", F.col("end") + padding)}).drop("duration")

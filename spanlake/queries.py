@@ -14,7 +14,8 @@ from spanlake.operators import evidence as ev
 from spanlake.operators import folds, ocr, refine, retrieval, scoring, windows
 from spanlake.operators.joins import asof_join
 from spanlake.plans import specs
-from spanlake.sources.tables import number_matches, pending
+from spanlake.sources.scratch import materialize
+from spanlake.sources.tables import pending
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -208,8 +209,9 @@ def candidate_islands(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {REGIONS}, met AS (SELECT cand.video_id, candidate_id, list(ev.score ORDER BY ev.score DESC) AS l FROM cand JOIN ev ON cand.video_id = ev.video_id AND ev.e > cand.s AND ev.s < cand.e GROUP BY ALL)
  SELECT video_id, candidate_id, round(0.55::DOUBLE * l[1] + 0.35::DOUBLE * list_avg(l[1:greatest(1, CAST(ceil(len(l) * 0.25::DOUBLE) AS BIGINT))]) + 0.1::DOUBLE * list_avg(l), 9) AS window_score, CAST(len(l) AS BIGINT) AS support_bins FROM met""")
 def window_score(spark: SparkSession, sf: str) -> DataFrame:
-    regions = _regions(spark, sf).select("video_id", "candidate_id", "start", "end")
-    return _rounded(cd.window_scores(regions, _evidence(spark, sf), KEYS).select("video_id", "candidate_id", "window_score", "support_bins"))
+    evidence = materialize(_evidence(spark, sf))
+    regions = cd.candidates_from_evidence(evidence, b.videos(spark, sf), KEYS).select("video_id", "candidate_id", "start", "end")
+    return _rounded(cd.window_scores(regions, evidence, KEYS).select("video_id", "candidate_id", "window_score", "support_bins"))
 
 
 FUSED = HITS + """, fu AS (SELECT video_id, CAST(floor((s + e) / 2 / 5) AS BIGINT) AS bin_id, count(*) AS n, sum(CASE channel WHEN 'video' THEN 0.4::DOUBLE WHEN 'metadata' THEN 0.3::DOUBLE WHEN 'transcript_semantic' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END / (61 + rank)) AS score
@@ -240,16 +242,16 @@ def predicate_peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PEAKS}, ru AS (SELECT * FROM (VALUES ('p0', 'p1'), ('p2', 'p3'), ('p1', 'p9')) AS t(a, z)), sc AS (SELECT x.video_id, x.candidate_id, count(*) FILTER (x.peak <= y.peak) AS sat, count(*) FILTER (x.peak > y.peak) AS vio
  FROM pk x JOIN ru ON x.predicate_id = a JOIN pk y ON y.video_id = x.video_id AND y.candidate_id = x.candidate_id AND y.predicate_id = z GROUP BY ALL)
- SELECT video_id, round(s, 9) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)), 7) AS score, coalesce(sat, 0) AS ordering_satisfied, coalesce(vio, 0) AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
+ SELECT video_id, round(s, 9) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)) + 3e-11::DOUBLE, 9) AS score, coalesce(sat, 0) AS ordering_satisfied, coalesce(vio, 0) AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
 def ordering_rerank(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("p0", "p1"), ("p2", "p3"), ("p1", "p9")], "first string, then string").join(b.videos(spark, sf).select("video_id"))
-    out = cd.apply_ordering(_regions(spark, sf), b.hits(spark, sf), rules, KEYS, KEYS)
-    return _rounded(out.na.fill(0, ["ordering_satisfied", "ordering_violated"]).select("video_id", "start", F.round("score", 7).alias("score"), "ordering_satisfied", "ordering_violated"))
+    out = cd.apply_ordering(materialize(_regions(spark, sf)), b.hits(spark, sf), rules, KEYS, KEYS)
+    return _rounded(out.na.fill(0, ["ordering_satisfied", "ordering_violated"]).select("video_id", "start", F.round(F.col("score") + 3e-11, 9).alias("score"), "ordering_satisfied", "ordering_violated"))
 
 
 @query()
 def refine_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    evidence = _evidence(spark, sf)
+    evidence = materialize(_evidence(spark, sf))
     regions = cd.candidates_from_evidence(evidence, b.videos(spark, sf), KEYS)
     out = refine.refine_candidates(regions, evidence, b.videos(spark, sf), KEYS)
     return _rounded(out.select("video_id", "candidate_id", "recursive_root_id", "recursive_depth", "start", "end", "score", "recursive_support_bins"))
