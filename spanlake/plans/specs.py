@@ -101,7 +101,7 @@ def query_specs(plans: DataFrame, plan: str = "plan") -> DataFrame:
     for channel in MODALITIES:
         own = F.transform(p[QUERY_LISTS[channel]], lambda q: F.struct(q.alias("query"), F.lit("planner_query").alias("predicate_id"), F.lit("target").alias("role"), F.lit(True).alias("required"), F.lit(1.0).alias("importance")))
         cues = F.transform(
-            F.filter(p["evidence_predicates"], lambda x, c=channel: F.array_contains(x["modalities"], c)),
+            F.filter(p["evidence_predicates"], lambda x: F.array_contains(x["modalities"], F.lit(channel))),  # noqa: B023  (called here and now)
             lambda x: F.struct(x["description"].alias("query"), x["id"].alias("predicate_id"), x["role"].alias("role"), x["required"].alias("required"), x["importance"].alias("importance")),
         )
         each = plans.where(p["weights"][channel] > 0).select("query_id", F.lit(channel).alias("channel"), p["weights"][channel].alias("weight"), F.posexplode(F.concat(own, cues)).alias("position", "s"))
