@@ -1,43 +1,17 @@
-"""What the corpus operators share: the scratch folder, size-checked broadcasts and byte-level words."""
+"""What the corpus operators share: scratch tables, size-checked broadcasts and byte-level words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.sources.scratch import materialize, scratch_dir  # noqa: F401
+
 #: The white space that ends a word, as bytes.split() has it too (\x20 \x09-\x0D).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir as the cluster names it.
-
-    Only where neither that setting nor a checkpoint folder is set (tests on one machine), a temporary
-    folder is made and set, so the whole session uses the same one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spanlake-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet under the shared scratch folder and read them back.
-
-    The files outlive every executor, so a lost one costs its running tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/spanlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_under(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; otherwise df, which joins by shuffle.
 
