@@ -133,6 +133,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], bool]:
             continue
         if name in VOID:
             continue
+        if name == "body":  # ends a head that was left open
+            pop(0)
         if name in ("p", "li") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         inside = state["article"] > 0

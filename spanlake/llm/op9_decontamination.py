@@ -2,8 +2,8 @@
 
 Words are stripped of marks and lowered; numbers, units after a number, and names (capitalised words inside a sentence)
 become typed placeholders. Windows of five template words of each benchmark item are hashed; each document's windows are
-looked up in that hash table, and the item's windows found in a document are counted. A document holds an item if half
-of the item's windows or more are found and, along the best alignment, the slots are consistent: each of the item's
+looked up in that hash table, and the item's windows found in a document are counted. A document holds an item if two
+fifths of the item's windows or more are found and, along the best alignment, the slots are consistent: each of the item's
 numbers, units and names stands for one value of the document's wherever it recurs. So re-parameterised questions are
 found, and chance matches of templates are not.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.common import broadcast_under, materialize, table
 
-WINDOW, PLAIN, SHARE, CONSISTENT, BLOCK = 5, 3, 0.5, 0.8, 200_000
+WINDOW, PLAIN, SHARE, CONSISTENT, BLOCK = 5, 3, 0.4, 0.8, 200_000
 #: Dropped ids up to which their table is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Units of measure, money and time that may follow a number.

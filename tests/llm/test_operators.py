@@ -78,6 +78,7 @@ def test_html():
     assert op1_html.main_text(None) == op1_html.main_text("") == op1_html.main_text("<p></p>") == ""
     assert op1_html.main_text("<div><a href=x>Menu</a></div><div>" + "long text " * 30 + "</div><p>Short end.</p><div><a href=y>More</a></div>").endswith("Short end.")
     assert op1_html.main_text("a < b and <c") == "a < b and <c"
+    assert op1_html.main_text("<head><title>x</title><body><p>Text of the page") == "Text of the page"
 
 
 def test_html_rows(spark):
