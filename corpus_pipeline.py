@@ -18,7 +18,7 @@ from spanlake.llm.op9_decontamination import drop_leaks
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known go on; texts without letters and ambiguous ones are rejected."""
+    """Documents with a language go on; `und` ones, without text or without a letter, are rejected."""
     return keep_identified(docs)
 
 

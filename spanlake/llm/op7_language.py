@@ -143,9 +143,10 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without texts that are `und` or ambiguous; all columns stay, whatever their names."""
+    """docs without texts that are `und`; all columns stay, whatever their names. Ambiguous texts stay too: most of them are
+    sound documents in two languages."""
     names = docs.columns
-    found = predict(docs, train(docs), *names).where((F.col("lang_pred") != UND) & ~F.col("ambiguous"))
+    found = predict(docs, train(docs), *names).where(F.col("lang_pred") != UND)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 
