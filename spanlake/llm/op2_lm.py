@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,12 @@ WORDS, SHARED, DIM, HOT = 448, 63, 24, 1 << 19
 CLASSES = WORDS + SHARED + 1
 END = CLASSES - 1
 #: Training rows of the pilot; noise samples; tokens and distinct trigrams that are learnt at a time; step size.
-PILOT, NOISE, CHUNK, BATCH, RATE = 3_000, 64, 1_000_000, 4_096, 0.15
+PILOT, NOISE, CHUNK, BATCH, RATE = 3_000, 64, 2_000_000, 4_096, 0.15
 FLUSH = 400_000
 
 
 def shared_class(word: bytes) -> int:
     """0 to SHARED-1 from the word's last two bytes."""
-    import xxhash
-
     return xxhash.xxh32_intdigest(word[-2:]) % SHARED
 
 
@@ -56,7 +55,6 @@ def _words(text: bytes | None) -> list[bytes]:
 def _count(batches) -> Iterator:
     """Partial counts of words by hash; the end's word is empty, so it has the hash of no bytes."""
     import pyarrow as pa
-    import xxhash
 
     counts: Counter = Counter()
 
@@ -95,8 +93,16 @@ class Vocabulary:
         self.noise = np.zeros(CLASSES)
         self.noise[: head.sum()], self.noise[WORDS:END], self.noise[END] = counts[head], np.maximum(self.group_n, 0), ends
         self.noise = (self.noise + 1) / (self.noise + 1).sum()
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        self.hashes = hashes
+
+    def places(self) -> dict[int, int]:
+        """Place of each hot word by its hash; made once in each Python worker."""
+        if "_places" not in self.__dict__:
+            self._places = dict(zip(self.hashes.tolist(), range(len(self.hashes)), strict=True))
+        return self._places
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k != "_places"}
 
     def group_log(self):
         import numpy as np
@@ -109,17 +115,13 @@ class Index(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.places = vocabulary, vocabulary.places()
 
     def __missing__(self, word: bytes) -> int:
-        import numpy as np
-        import xxhash
-
         if len(self) >= FLUSH:
             self.clear()
-        key = xxhash.xxh64_intdigest(word) - (1 << 63)
-        at = int(np.searchsorted(self.v.sorted, key))
-        self[word] = value = int(self.v.order[at]) if at < len(self.v.sorted) and self.v.sorted[at] == key else -1 - shared_class(word)
+        place = self.places.get(xxhash.xxh64_intdigest(word) - (1 << 63))
+        self[word] = value = place if place is not None else -1 - shared_class(word)
         return value
 
     def of(self, words: list[bytes]):
@@ -139,6 +141,18 @@ def _classes(at, vocabulary: Vocabulary):
     return out
 
 
+def _row_sums(index, rows):
+    """Sums of the rows of each class, by one sort."""
+    import numpy as np
+
+    order = np.argsort(index, kind="stable")
+    sorted_ = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    out[sorted_[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 class Model:
     """Parameters C1, C2, Q, b with their sums of squared gradients; learns from trigrams of classes."""
 
@@ -147,7 +161,8 @@ class Model:
 
         self.rng = np.random.default_rng(seed)
         shape = (CLASSES, DIM)
-        self.parameters = [p.copy() for p in parameters] if parameters else [self.rng.normal(0, 0.1, shape), self.rng.normal(0, 0.1, shape), self.rng.normal(0, 0.1, shape), np.log(noise)]
+        start = parameters or [self.rng.normal(0, 0.1, shape), self.rng.normal(0, 0.1, shape), self.rng.normal(0, 0.1, shape), np.log(noise)]
+        self.parameters = [np.array(p, np.float32) for p in start]
         self.squares, self.noise, self.weight = [np.full_like(p, 0.1) for p in self.parameters], noise, 0
 
     def learn(self, codes) -> None:
@@ -158,7 +173,7 @@ class Model:
         order = self.rng.permutation(len(codes))
         for part in np.array_split(order, 1 + len(order) // BATCH):
             if len(part):
-                self._step(codes[part], counts[part].astype(float))
+                self._step(codes[part], counts[part].astype(np.float32))
         self.weight += int(counts.sum())
 
     def _step(self, codes, counts) -> None:
@@ -167,20 +182,16 @@ class Model:
         c1, c2, q, b = self.parameters
         w, v, u = codes % CLASSES, codes // CLASSES % CLASSES, codes // CLASSES**2
         noise = self.rng.choice(CLASSES, NOISE, p=self.noise)
-        shift = np.log(NOISE * self.noise)
+        shift = np.log(NOISE * self.noise).astype(np.float32)
         r = c1[u] + c2[v]
         # d log-likelihood / d score: 1 - sigmoid for the word seen, -sigmoid for each noise word
         seen = counts / (1 + np.exp(np.clip((r * q[w]).sum(1) + b[w] - shift[w], -30, 30)))
         false = -counts[:, None] / (1 + np.exp(-np.clip(r @ q[noise].T + b[noise] - shift[noise], -30, 30)))
         total = counts.sum()
         gr = (seen[:, None] * q[w] + false @ q[noise]) / total
-        gq, gb, g1, g2 = (np.zeros_like(p) for p in (q, b, c1, c2))
-        np.add.at(gq, w, seen[:, None] * r / total)
-        np.add.at(gq, noise, false.T @ r / total)
-        np.add.at(gb, w, seen / total)
-        np.add.at(gb, noise, false.sum(0) / total)
-        np.add.at(g1, u, gr)
-        np.add.at(g2, v, gr)
+        gq = (_row_sums(w, seen[:, None] * r) + _row_sums(noise, false.T @ r)) / total
+        gb = ((np.bincount(w, seen, CLASSES) + np.bincount(noise, false.sum(0), CLASSES)) / total).astype(np.float32)
+        g1, g2 = _row_sums(u, gr), _row_sums(v, gr)
         for p, s, g in zip(self.parameters, self.squares, (g1, g2, gq, gb), strict=True):
             g = g * 100
             s += g * g
@@ -226,8 +237,6 @@ def gather(rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
 
     counts = rows.select("text").mapInArrow(_count, "word long, shared int, c long").groupBy("word", "shared").agg(F.sum("c").alias("c"))
     counts = materialize(counts)
-    import xxhash
-
     end = xxhash.xxh64_intdigest(b"") - (1 << 63)
     words = counts.where(F.col("word") != end)
     groups = words.groupBy("shared").agg(F.sum("c"), F.count("*")).collect()
@@ -269,7 +278,7 @@ def train(rows: DataFrame, vocabulary) -> list:
         model = Model(vocabulary.value.noise, start.value)
         _learn((t for b in batches for t in b.column(0).to_pylist()), model, Index(vocabulary.value))
         if model.weight:
-            flat = np.concatenate([p.ravel() for p in model.parameters]) * model.weight
+            flat = np.concatenate([p.ravel() for p in model.parameters]).astype(float) * model.weight
             yield pa.RecordBatch.from_arrays([pa.array([model.weight], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["weight", "flat"])
 
     def add(batches) -> Iterator:
@@ -311,7 +320,6 @@ def score(docs: DataFrame) -> DataFrame:
 
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         v, index = vocabulary.value, Index(vocabulary.value)
         group_log, ln10 = v.group_log(), math.log(10)
