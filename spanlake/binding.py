@@ -51,7 +51,8 @@ def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    """Every hundredth vector is a query, so the queries grow with the table."""
+    return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

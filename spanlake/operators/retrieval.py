@@ -45,10 +45,14 @@ def knn(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id",
     return found if found is not None else _top(unit.crossJoin(queries).select("query_id", item_id, F.lit(0.0).alias("score")), ["query_id"], k, [item_id])
 
 
-def knn_views(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id") -> DataFrame:
+def knn_views(queries: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
     """As knn, for items with an array of view vectors (views): the best view counts."""
-    scored = items.crossJoin(F.broadcast(queries)).select("query_id", item_id, view_score(F.col("views"), F.col("qvec")).alias("score"))
-    return _top(scored, ["query_id"], k, [F.desc(F.round("score", 9)), item_id])
+    found = None
+    for part in _query_blocks(queries, block):
+        scored = items.crossJoin(part).select("query_id", item_id, view_score(F.col("views"), F.col("qvec")).alias("score"))
+        top = _top(scored, ["query_id"], k, [F.desc(F.round("score", 9)), item_id])
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def pool_intervals(chunks: DataFrame, frames: DataFrame, cell: float = 60.0) -> DataFrame:
@@ -100,19 +104,27 @@ def scale_order(chunks: DataFrame) -> DataFrame:
 
 
 def hierarchical_search(
-    queries: DataFrame, chunks: DataFrame, k: int, scales: tuple[str, ...] = ("coarse", "medium", "fine"), context: float = 0.3, padding: float = 1.0, multiplier: int = 4, least_beam: int = 24
+    queries: DataFrame, chunks: DataFrame, k: int, scales: tuple[str, ...] = ("coarse", "medium", "fine"), context: float = 0.3, padding: float = 1.0, multiplier: int = 4, least_beam: int = 24, block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Beam search from coarse to fine: query_id, video_id, chunk_id, score, rank over chunks (video_id, scale, chunk_id, start,
     end, views or vec). A finer chunk's score is (1-context) x its own + context x its best parent's in the beam; parents are
     those that hold its centre, or else those that overlap it, both padded. A scale where no chunk has a parent in the beam
-    is searched whole with no context."""
+    is searched whole with no context. Queries are searched in blocks."""
+    found = None
+    for part in _query_blocks(queries, block):
+        best = _beam_search(part, chunks, k, scales, context, padding, multiplier, least_beam)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _beam_search(queries: DataFrame, chunks: DataFrame, k: int, scales: tuple[str, ...], context: float, padding: float, multiplier: int, least_beam: int) -> DataFrame:
+    """hierarchical_search of queries that are few enough to send to every task."""
     context = min(0.95, max(0.0, context))
     score = view_score(F.col("views"), F.col("qvec")) if "views" in chunks.columns else dot(F.col("vec"), F.col("qvec"))
     # a beam never exceeds its scale, and k is clipped to the output scale before the beam is set
     total = chunks.where(F.col("scale") == scales[-1]).groupBy("video_id").agg(F.count("*").alias("total"))
     wanted = F.least(F.lit(max(1, k)), F.col("total"))
     beam = F.greatest(F.lit(least_beam), multiplier * wanted)
-    queries = F.broadcast(queries)
     by = ["query_id", "video_id"]
 
     def direct(scale: str) -> DataFrame:
