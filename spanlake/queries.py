@@ -380,7 +380,7 @@ def asof_bin(spark: SparkSession, sf: str) -> DataFrame:
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     tokens = tx.tokenize(F.col("text"))
     none = F.array().cast("array<string>")
-    scene = {"summary": F.substring("text", 1, 40), "scene": F.col("source"), "people": F.slice(tokens, 1, 3), "objects": none, "search_terms": F.array("lang", "source")}
+    scene = {"summary": F.col("text"), "scene": F.col("source"), "people": tokens, "objects": none, "search_terms": F.array("lang", "source")}
     return b.read(spark, sf, "documents").where(F.size(tokens) > 0).select("doc_id", tx.scene_text(scene).alias("search_text"))
 
 

@@ -41,3 +41,11 @@ def test_views_and_hierarchy_in_blocks_give_the_same(spark):
     chunks = spark.createDataFrame(chunks, "video_id string, scale string, chunk_id string, start double, end double, vec array<double>")
     search = lambda **x: found(retrieval.hierarchical_search(ask, chunks, 3, ("coarse", "fine"), **x))
     assert search() == search(block=2)
+
+
+def test_search_text_holds_the_whole_document(spark, tmp_path):
+    text = "Seven small boats left the old harbour early; nobody aboard knew what the lighthouse keeper had seen"
+    spark.createDataFrame([(1, text, "en", "web"), (2, " !", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    people = "; ".join(text.lower().replace(";", "").split())
+    got = [tuple(r) for r in queries.QUERIES["search_text"](spark, str(tmp_path)).collect()]
+    assert got == [(1, f"Summary: {text}\nScene: web\nPeople: {people}\nSearch terms: en; web")]
