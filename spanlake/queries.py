@@ -466,7 +466,7 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return b.read(spark, sf, "pages").select(
         F.floor(F.col("page_id") / 40).cast("long").alias("video_id"), "page_id", (F.col("page_id") % 40 * 5.0).alias("start"), (F.col("page_id") % 40 * 5.0 + 8).alias("end"),
-        (F.col("page_id") % 40 * 5.0 + 4).alias("best_timestamp"), F.substring(title, 1, 24).alias("ocr_text"), F.lit(True).alias("readable"), (F.col("page_id") % 11 / 11).alias("confidence"), F.lit("").alias("target_description"), F.lit("").alias("visual_evidence"),
+        (F.col("page_id") % 40 * 5.0 + 4).alias("best_timestamp"), title.alias("ocr_text"), F.lit(True).alias("readable"), (F.col("page_id") % 11 / 11).alias("confidence"), F.lit("").alias("target_description"), F.lit("").alias("visual_evidence"),
     )
 
 

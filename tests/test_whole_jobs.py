@@ -49,3 +49,12 @@ def test_search_text_holds_the_whole_document(spark, tmp_path):
     people = "; ".join(text.lower().replace(";", "").split())
     got = [tuple(r) for r in queries.QUERIES["search_text"](spark, str(tmp_path)).collect()]
     assert got == [(1, f"Summary: {text}\nScene: web\nPeople: {people}\nSearch terms: en; web")]
+
+
+def test_readings_are_whole_titles(spark, tmp_path):
+    titles = ["Annual report of the harbour: boats", "Annual report of the harbour: lighthouse keepers and crews"]
+    spark.createDataFrame([(i, f"<html><title>{t}</title></html>") for i, t in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {name: [r.asDict() for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] for name in ("ocr_consensus", "ocr_merge", "text_entities")}
+    assert found["ocr_consensus"][0]["ocr_text"] in titles
+    assert sorted(r["ocr_text"] for r in found["ocr_merge"]) == titles
+    assert sorted(r["text"] for r in found["text_entities"]) == titles
