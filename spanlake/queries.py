@@ -365,7 +365,8 @@ def transcript_windows(spark: SparkSession, sf: str) -> DataFrame:
  SELECT sg.conv_id AS video_id, CAST(interval_id AS INTEGER) AS interval_id, turn, greatest(s, interval_id * 40) - interval_id * 40::DOUBLE AS from_second, least(e, interval_id * 40 + 25) - interval_id * 40::DOUBLE AS to_second FROM sg JOIN iv ON sg.conv_id = iv.conv_id AND s < interval_id * 40 + 25 AND e > interval_id * 40""")
 def speech_overlap(spark: SparkSession, sf: str) -> DataFrame:
     segments = b.words(spark, sf).groupBy("video_id", "turn").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("text", F.col("turn").cast("string"))
-    marks = segments.select("video_id").distinct().withColumn("interval_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumns({"start": F.col("interval_id") * 40.0, "end": F.col("interval_id") * 40.0 + 25})
+    lengths = segments.groupBy("video_id").agg(F.max("end").alias("duration"))
+    marks = lengths.select("video_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / 40).cast("int") - 1)).alias("interval_id")).withColumns({"start": F.col("interval_id") * 40.0, "end": F.col("interval_id") * 40.0 + 25})
     return retrieval.speech_between(marks, segments).select("video_id", "interval_id", F.col("text").cast("long").alias("turn"), "from_second", "to_second")
 
 

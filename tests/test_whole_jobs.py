@@ -58,3 +58,10 @@ def test_readings_are_whole_titles(spark, tmp_path):
     assert found["ocr_consensus"][0]["ocr_text"] in titles
     assert sorted(r["ocr_text"] for r in found["ocr_merge"]) == titles
     assert sorted(r["text"] for r in found["text_entities"]) == titles
+
+
+def test_speech_is_looked_at_to_the_end(spark, tmp_path):
+    turns = [(0, 0, "word " * 395), (0, 1, "late " * 50), (1, 0, "brief words")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["video_id"], r["interval_id"], r["turn"]): (r["from_second"], r["to_second"]) for r in queries.QUERIES["speech_overlap"](spark, str(tmp_path)).collect()}
+    assert got == {(0, i, 0): (0, 25) for i in range(10)} | {(0, 10, 1): (0, 25), (0, 11, 1): (0, 5), (1, 0, 0): (0, 2)}
