@@ -5,7 +5,8 @@ become typed placeholders. Windows of five template words of each benchmark item
 looked up in that hash table, and the item's windows found in a document are counted. A document holds an item if two
 fifths of the item's windows or more are found and, along the best alignment, the slots are consistent: each of the item's
 numbers, units and names stands for one value of the document's wherever it recurs. So re-parameterised questions are
-found, and chance matches of templates are not.
+found, and chance matches of templates are not. A document also holds an item, however long, if it repeats thirteen or more
+of its template words in a row, eight of them plain in some thirteen, with consistent slots: an excerpt.
 
 The benchmark is the side with a stated bound: its windows are broadcast in blocks of at most `BLOCK` windows, one pass
 over the documents a block, so any benchmark is searched whole. Windows with fewer than three plain words are left out
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import broadcast_under, materialize, table
 
 WINDOW, PLAIN, SHARE, CONSISTENT, BLOCK = 5, 3, 0.4, 0.8, 200_000
+#: An excerpt: words in a row, plain ones among them, and the windows that any such words have at least.
+RUN, RUN_PLAIN, RUN_WINDOWS = 13, 8, 4
 #: Dropped ids up to which their table is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Units of measure, money and time that may follow a number.
@@ -136,14 +139,41 @@ class Block:
             return
         row = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         where, owner, place = np.repeat(at, count), self.owner[row], self.place[row]
+        diagonals, votes = np.unique(owner.astype(np.int64) * (1 << 40) + (where - place + (1 << 39)), return_counts=True)
+        far = diagonals[votes >= RUN_WINDOWS]
         for k in np.unique(owner):
             mine = owner == k
             found = len(np.unique(place[mine]))
-            if found < SHARE * self.total[k]:
-                continue
-            slots, same = self._slots(canon, plain, k, where[mine], place[mine])
-            if same >= CONSISTENT * slots:
-                yield self.ids[k], found, int(self.total[k]), slots, same
+            if found >= SHARE * self.total[k]:
+                slots, same = self._slots(canon, plain, k, where[mine], place[mine])
+                if same >= CONSISTENT * slots:
+                    yield self.ids[k], found, int(self.total[k]), slots, same
+                    continue
+            excerpt = self._excerpt(canon, plain, k, far[far >> 40 == k])
+            if excerpt:
+                yield self.ids[k], found, int(self.total[k]), *excerpt
+
+    def _excerpt(self, canon, plain, k, diagonals) -> tuple[int, int] | None:
+        """Slots and consistent slots of the first excerpt of the item along one of the diagonals."""
+        import numpy as np
+
+        for shift in ((diagonals & ((1 << 40) - 1)) - (1 << 39)).tolist():
+            first, last = max(0, -shift), min(len(self.canon[k]), len(canon) - shift)
+            kinds = self.canon[k][first:last]
+            equal = np.concatenate([[False], kinds == canon[first + shift : last + shift], [False]])
+            slot = np.isin(kinds, np.array([NUMBER, UNIT, NAME], np.uint64))
+            edges = np.flatnonzero(equal[1:] != equal[:-1])
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a < RUN:
+                    continue
+                sums = np.concatenate([[0], np.cumsum(~slot[a:b])])
+                if (sums[RUN:] - sums[:-RUN]).max() < RUN_PLAIN:
+                    continue
+                at = first + a + np.flatnonzero(slot[a:b])
+                same = self._consistent(plain, k, at, shift)
+                if same >= CONSISTENT * len(at):
+                    return len(at), same
+        return None
 
     def _slots(self, canon, plain, k, where, place) -> tuple[int, int]:
         """Slots of the item along the diagonal with most votes, and those whose item value has its usual document value."""
@@ -155,11 +185,15 @@ class Block:
         item = item[(item + shift >= 0) & (item + shift < len(canon))]
         kinds = self.canon[k][item]
         slot = item[(kinds == canon[item + shift]) & np.isin(kinds, np.array([NUMBER, UNIT, NAME], np.uint64))]
+        return len(slot), self._consistent(plain, k, slot, shift)
+
+    def _consistent(self, plain, k, slot, shift) -> int:
+        """How many of these slots of the item have the usual document value of their item value."""
         pairs: dict[int, dict[int, int]] = {}
         for a, b in zip(self.plain[k][slot].tolist(), plain[slot + shift].tolist(), strict=True):
             own = pairs.setdefault(a, {})
             own[b] = own.get(b, 0) + 1
-        return len(slot), sum(max(x.values()) for x in pairs.values())
+        return sum(max(x.values()) for x in pairs.values())
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list]:

@@ -371,3 +371,14 @@ def test_licenses(spark, odd, docs, rows):
     got = {r["doc_id"]: r for r in op10_licenses.scan_documents(spark.createDataFrame(extra, "doc_id long, text string")).collect()}
     assert all(tuple(got[i][n] for n in names) == brute_licenses(t) for i, t in extra)
     assert got[1]["n_base"] == 4 and got[5]["labels"] == "apache-2.0" and 0.8 <= got[5]["score"] < 1 and got[6]["labels"] == ""
+
+
+def test_excerpts_of_long_items_are_found():
+    item = [f"word{i}" for i in range(500)]
+    block = op9_decontamination.Block([(9, " ".join(item).encode())])
+    held = lambda ws: [m[0] for m in block.matches(f"before this {' '.join(ws)} and after".encode(), op9_decontamination.Tokens())]
+    assert held(item[100:300]) == held(item[200:220]) == held(item[487:]) == [9]
+    assert held(item[200:212]) == held(item[200:206] + ["x"] + item[207:215]) == []
+    slots = [x for i in range(40) for x in ((f"word{i}", "7", "km", "Rome") if i % 10 else ("plain",))]
+    block = op9_decontamination.Block([(8, " ".join(slots + item).encode())])
+    assert not held(slots[:60])  # hardly a plain word
