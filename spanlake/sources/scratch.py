@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,16 @@ _written: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir as the cluster names it.
 
-    Only where neither that setting nor a checkpoint folder is set (tests on one machine), a temporary
-    folder is made and set, so the whole session uses the same one.
+    Only where neither that setting nor a checkpoint folder is set and the whole session is one process (tests on one
+    machine), a temporary folder is made and set. A cluster without the setting is an error: its machines' own folders
+    don't hold what other machines write.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spanlake-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanlake-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
