@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,63 @@ def residue(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a long that tells equal rows apart and is the same at every reading: a hash of file and row number.
+
+    A frame that is not a plain scan of files is written to the shared folder first. Other columns, whatever their names,
+    stay as they are."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.xxhash64(meta["file_path"], meta["row_index"]))
+    except AnalysisException:
+        df = materialize(df)
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.xxhash64(meta["file_path"], meta["row_index"]))
+
+
+def packed(*columns):
+    """Rows of signed longs as byte strings in the same order, for binary search on several columns at once."""
+    import numpy as np
+
+    wide = np.stack([(np.asarray(c, np.int64) ^ np.int64(-(2**63))).view(np.uint64) for c in columns], axis=1).astype(">u8")
+    return np.ascontiguousarray(wide).view(f"S{8 * len(columns)}").ravel()
+
+
+def place_of(spark: SparkSession, keys, side: str = "left"):
+    """A function of three long columns: how many of the sorted packed keys are below them (side right: or equal)."""
+    shared = spark.sparkContext.broadcast(keys)
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(np.searchsorted(shared.value, packed(a, b, c), side=side), dtype="int64")
+
+    return F.pandas_udf(run, "long")
+
+
+def sampled_keys(rows: DataFrame, columns: list[str], weight: str, rate: float, salt: int):
+    """(packed keys, weights) in key order of rows drawn with a chance of weight * rate, by a hash, so that reruns agree.
+    A row that was not sure to be drawn weighs 1 / rate."""
+    import numpy as np
+
+    u = F.xxhash64(*columns, F.lit(salt)).cast("double") / F.lit(2.0**64) + 0.5
+    got = rows.where(u < F.col(weight) * F.lit(float(rate))).select(*columns, weight).toArrow()
+    keys = packed(*[got.column(c).to_numpy() for c in columns])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.maximum(got.column(weight).to_numpy().astype(float), 1 / rate)[order]
+
+
+def quantile_keys(keys, weights, parts: int):
+    """At most parts - 1 of the keys, which cut them into parts of near equal weight."""
+    import numpy as np
+
+    if not len(keys) or parts < 2:
+        return keys[:0]
+    sums = np.cumsum(weights)
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, parts) / parts)
+    return np.unique(keys[np.minimum(at, len(keys) - 1)])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, computed once each and forgotten together when there are too many."""
 

@@ -159,10 +159,28 @@ def test_peeling_recovers_differences_of_any_size():
     for size, other in ((0, 0), (1, 0), (5, 3), (400, 0), (3000, 2500)):
         common = rng.integers(0, 1 << 62, 50, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in (size, other))
-        got = op3_fingerprints.likeness([a], [b])[0]
+        got = op3_fingerprints.likeness([a], [b])[0][0]
         assert got == pytest.approx(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
 
 
+def test_differing_paragraphs_are_recovered():
+    left, right = "One line.\nThe second one.\nLast.", "One line.\nThe other one.\nLast."
+    gone, new = op3_fingerprints.differences(left.encode(), right.encode())
+    whole = lambda d: {p for k, p in d.items() if k & op3_fingerprints.PARAGRAPH}
+    assert whole(gone) == {b"The second one."} and whole(new) == {b"The other one."}
+    assert op3_fingerprints.differences(b"", b"") == ({}, {})
+    dense = ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 100).encode()  # no space in 1,800 bytes
+    assert all(len(p) <= 51 and p.decode() for k, p in op3_fingerprints.cells_of(dense).items() if not k & 1)
+
+
+def test_many_rows_of_one_id_or_none_are_dealt_out(spark):
+    rows = [(None, "same"), (7, "also the same"), (7, "also the same")] * 300 + [(8, f"text {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op3_fingerprints.fingerprint(df, ranges=9).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == {None: 300, 7: 600, 8: 50}
+    assert sum(r["near_next"] == 1 for r in got if r["doc_id"] in (None, 7)) == 898
+
+
 def check_shards(got, most):
     by = collections.defaultdict(list)
     for r in got:
@@ -187,6 +205,31 @@ def test_a_group_of_copies_is_split_between_shards(spark):
     assert len(by) == 16
 
 
+def test_rows_that_are_equal_in_all_columns_are_split_too(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 2900, "").otherwise(F.concat(F.lit("x"), F.col("id"))).alias("text"))
+    assert len(check_shards(op4_sharding.shard_documents(df).collect(), 6)) == 16
+    assert len(check_shards(op4_sharding.shard_texts(df).collect(), 6)) == 16
+
+
+def test_small_groups_of_copies_stay_together(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of a pair "), F.floor(F.col("id") / 2)).alias("text"))
+    long = df.unionByName(spark.createDataFrame([(9999, "y" * 400)], "doc_id long, text string"))
+    got = op4_sharding.shard_texts(long).collect()
+    check_shards(got, 401)
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    monkeypatch.setattr(op4_sharding, "SAMPLES", 1)
+    monkeypatch.setattr(op4_sharding, "OVERFULL", 1.2)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    keys = op4_sharding.materialize(op4_sharding._keyed(df).select(F.lit(5).cast("long").alias("__s"), *op4_sharding.KEY))
+    _, per = op4_sharding._split(keys, 10_000, 2)
+    assert sum(n for _, n in per.values()) == 2000 and max(s for s, _ in per.values()) <= 1.2 * 10_000 / 64
+
 def test_quality(spark, sf):
     got = {r["doc_id"]: r for r in q.QUERIES["op5_ftrl_quality"](spark, sf).collect()}
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
