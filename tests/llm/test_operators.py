@@ -378,8 +378,85 @@ def test_reparameterised_questions_are_found(spark):
     df = spark.createDataFrame([(1, ITEM), (2, f"Before. {other}. After."), (3, plain), (4, ITEM.upper()), (5, ITEM[:60])], "doc_id long, text string")
     bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
     assert {r["doc_id"] for r in op9_decontamination.leaks(df, bench).collect()} == {1, 2, 4}
-    block = op9_decontamination.Block([(9, (ITEM + " and Berlin and Berlin").encode())])
-    assert not list(block.matches(mixed.encode() + b" and Cork and Bonn", op9_decontamination.Tokens()))  # one name, four values
+    recurring = spark.createDataFrame([(9, ITEM + " and Berlin and Berlin")], "item_id long, text string")
+    one = lambda x: spark.createDataFrame([(1, x)], "doc_id long, text string")
+    assert op9_decontamination.leaks(one(other + " and Paris and Paris"), recurring).count() == 1
+    assert op9_decontamination.leaks(one(mixed + " and Cork and Bonn"), recurring).count() == 0  # one name, four values
+    towns = spark.createDataFrame([(9, "From Rome we walked to Oslo then on to Lima and later to Cork where Bonn met Kiel near Metz")], "item_id long, text string")
+    assert op9_decontamination.leaks(one("From Rome we walked to Rome then on to Rome and later to Rome where Rome met Rome near Rome"), towns).count() == 0  # four names, one value
+
+
+def test_short_items_are_matched_whole(spark):
+    bench = spark.createDataFrame([(1, "Green frogs"), (2, "7 8 9 10 11 12 13"), (3, "Rome"), (4, "..."), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Many green frogs live here"), (2, "green little frogs"), (3, "7 8 9 10 11 12"), (4, "6 7 8 9 10 11 12 13 14"), (5, "to Rome."), (None, "in rome")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in op9_decontamination.leaks(docs, bench).collect()} == {(1, 1), (4, 2), (5, 3), (None, 3)}
+    assert [r["doc_id"] for r in op9_decontamination.drop_leaks(docs, bench).collect()] == [2, 3]
+
+
+def brute_leak(text, item):
+    """Both rules by comparing every place of the text with every place of the item."""
+    tokens = op9_decontamination.Tokens()
+    (ci, wi), (cd, wd) = ([x.tolist() for x in op9_decontamination.template((x or "").encode(), tokens)] for x in (item, text))
+    good = [i for i in range(len(ci) - 4) if sum(a == b for a, b in zip(ci[i : i + 5], wi[i : i + 5])) >= 3]
+    if not good:
+        return bool(wi) and any(wd[k : k + len(wi)] == wi for k in range(len(wd) - len(wi) + 1))
+    hits = {}
+    for i in good:
+        for k in range(len(cd) - 4):
+            if cd[k : k + 5] == ci[i : i + 5]:
+                hits.setdefault(k - i, set()).add(i)
+    for shift in (0, 4):
+        bands = {}
+        for d, places in hits.items():
+            bands.setdefault((d + shift) // 8, {})[d] = places
+        for held in bands.values():
+            if 2 * len(set().union(*held.values())) < len(good):
+                continue
+            slots = {(i + j, wi[i + j], wd[i + j + d]) for d, places in held.items() for i in places for j in range(5) if ci[i + j] != wi[i + j]}
+            ways = [collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)]
+            for _, a, b in slots:
+                ways[0][a][b] += 1
+                ways[1][b][a] += 1
+            if all(sum(max(c.values()) for c in w.values()) >= 0.8 * len(slots) for w in ways):
+                return True
+    for d, places in hits.items():
+        covered = {i + j for i in places if wi[i : i + 5] == wd[i + d : i + d + 5] for j in range(5)}
+        for i in places:
+            if set(range(i, i + 13)) <= covered and sum(ci[j] == wi[j] for j in range(i, i + 13)) >= 8:
+                return True
+    return False
+
+
+def test_leaks_against_brute_force(spark, sf, rows):
+    import random
+
+    rng = random.Random(5)
+    bench = [(b["item_id"], b["text"]) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bench += [(100, ITEM), (101, ITEM.replace("Berlin", "Lyon")), (102, "Answer this: which of the old towns has 3 gates and 2 towers"), (103, "Answer this: which of the old towns has 4 bridges")]
+    texts = [r["text"] for r in rows.values()][:60]
+    for _, item in bench[-24:]:
+        w = item.split()
+        for _ in range(4):
+            cut = w[rng.randrange(len(w) // 2) :][: rng.randrange(8, 40)]
+            if rng.random() < 0.5 and len(cut) > 6:
+                cut.insert(rng.randrange(len(cut)), "inserted")
+            texts.append(f"Before this. {' '.join(cut)} {rng.choice(texts[:60])[:80]}" if rng.random() < 0.8 else " ".join(cut))
+    got = {(r["doc_id"], r["item_id"]) for r in op9_decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {(i, k) for i, t in enumerate(texts) for k, item in bench if brute_leak(t, item)}
+    assert got == want and len(want) > 40
+
+
+def test_anchors_meet_every_way_to_hold_an_item():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        places = sorted(rng.sample(range(60), rng.randrange(1, 40)))
+        owners = [rng.randrange(1, 9) for _ in places]
+        chosen = op9_decontamination.anchors_of(owners, places, False)
+        assert len(places) - sum(chosen) < op9_decontamination.least(len(places))
+        for a in places:
+            assert any(c for p, c in zip(places, chosen) if a <= p <= a + 8)
 
 
 def test_leaks_against_whole_items(spark, sf, rows):
@@ -390,10 +467,11 @@ def test_leaks_against_whole_items(spark, sf, rows):
     assert want <= got
 
 
-def test_blocks_of_a_large_benchmark_give_the_same(spark, sf, monkeypatch):
+def test_a_crowded_bitmap_and_shuffled_joins_give_the_same(spark, sf, monkeypatch):
     pairs = lambda: {(r["doc_id"], r["item_id"]) for r in q.QUERIES["op9_template_decontamination"](spark, sf).collect()}
     want = pairs()
-    monkeypatch.setattr(op9_decontamination, "BLOCK", 700)
+    monkeypatch.setattr(op9_decontamination, "MOST_BITS", 8)
+    monkeypatch.setattr(op9_decontamination, "BROADCAST_ROWS", 0)
     assert pairs() == want
 
 
@@ -416,12 +494,11 @@ def test_licenses(spark, odd, docs, rows):
     assert got[1]["n_base"] == 4 and got[5]["labels"] == "apache-2.0" and 0.8 <= got[5]["score"] < 1 and got[6]["labels"] == ""
 
 
-def test_excerpts_of_long_items_are_found():
+def test_excerpts_of_long_items_are_found(spark):
     item = [f"word{i}" for i in range(500)]
-    block = op9_decontamination.Block([(9, " ".join(item).encode())])
-    held = lambda ws: [m[0] for m in block.matches(f"before this {' '.join(ws)} and after".encode(), op9_decontamination.Tokens())]
-    assert held(item[100:300]) == held(item[200:220]) == held(item[487:]) == [9]
-    assert held(item[200:212]) == held(item[200:206] + ["x"] + item[207:215]) == []
     slots = [x for i in range(40) for x in ((f"word{i}", "7", "km", "Rome") if i % 10 else ("plain",))]
-    block = op9_decontamination.Block([(8, " ".join(slots + item).encode())])
-    assert not held(slots[:60])  # hardly a plain word
+    cuts = [item[100:300], item[200:220], item[487:], item[200:212], item[200:206] + ["x"] + item[207:215], slots[:60]]  # the last has hardly a plain word
+    docs = spark.createDataFrame([(n, f"before this {' '.join(c)} and after") for n, c in enumerate(cuts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(item)), (8, " ".join(slots + item))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op9_decontamination.leaks(docs, bench).collect()}
+    assert got == {(n, i) for n in (0, 1, 2) for i in (8, 9)}
