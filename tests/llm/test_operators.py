@@ -81,6 +81,38 @@ def test_html():
     assert op1_html.main_text("<head><title>x</title><body><p>Text of the page") == "Text of the page"
 
 
+def test_line_blocks_decide_in_marked_articles_too():
+    text = "<p>" + "long text " * 30 + "</p>"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Story {k}</a>" for k in range(6)) + "</ul>"
+    assert op1_html.main_text(f"<article>{text}{links}<p>Last.</p></article>").split("\n")[1:] == ["Last."]  # a dive among links
+    assert op1_html.main_text(f"<article>{text}<p><a href=x>One link</a></p><p>Last.</p></article>").split("\n")[1:] == ["One link", "Last."]
+    teaser = "<article><h2>Teaser</h2></article>" + "<div>x</div>" * 0 + f"<div>{text * 6}</div>"
+    assert len(op1_html.main_text(teaser)) > 6 * 290  # a teaser's article hides nothing
+    notice = "<p>Short notice without a name.</p>" + "<hr><form></form>" * 3
+    assert op1_html.main_text(f"{notice}<article>{text}</article>") == ("long text " * 30).strip()  # its peak is too low
+
+
+def test_names_are_hints():
+    text = "<p>" + "long text " * 30 + "</p>"
+    for kept in ('<section id="related-work"><p>Kept.</p></section>', '<p class="share-price">Kept.</p>', '<div data-hidden="false">Kept.</div>', '<div class="overflow-hidden">Kept.</div>'):
+        assert op1_html.main_text(f"<article>{text}{kept}</article>").endswith("\nKept."), kept
+    for gone in ('<div class="ad-slot">Gone.</div>', '<div id="cookieNotice">Gone.</div>', '<div class="big post-comments">Gone.</div>', "<div hidden>Gone.</div>", '<div style="display: none">Gone.</div>'):
+        assert "Gone" not in op1_html.main_text(f"<article>{text}{gone}{text}</article>"), gone
+    assert op1_html.main_text('<div class="overflow-hidden"><p>Body.</p></div>') == op1_html.main_text('<div class="sidebar"><p>Body.</p></div>') == "Body."
+    comments = '<div class="comments"><p>' + "comment " * 100 + "</p></div>"
+    assert op1_html.main_text(comments + f'<div class="sidebar"><article>{text}</article></div>') == ("long text " * 30).strip()
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "x', '<a ="x', "<div>", "<svg>", "<b>", "</b>", "<i></b>", '<p class="ad">', '<div class="ad">', "<article>", "<form>", "<!-- ", "&", "<li><a>x", "word <p>"])
+def test_very_long_hostile_pages_take_time_in_proportion(piece):
+    import time
+
+    began = time.time()
+    page = "<p>Start</p><b>" + piece * (1_000_000 // len(piece)) + "</b>" * 1000 + "<p>End</p>"
+    op1_html.main_text(page)
+    assert time.time() - began < 30
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", PAGE), (None, "u", PAGE)], "page_id long, url string, html string")
     got = op1_html.extract(pages.withColumn("text", F.lit("clash"))).collect()
