@@ -2,11 +2,14 @@
 
 Each source's target is its share of the budget by weight, held to twice its size, the excess going to the others by
 weight. A source gives floor(target / size) complete epochs of all its documents first; the rest of its target is a
-weighted sample without replacement: documents in ascending order of -ln(u) / quality, u hashed from the id, as far as
-their sizes' prefix sum goes, then later ones of the same slice that still fit. Documents are taken whole.
+weighted sample without replacement: documents in ascending order of -ln(u) / quality, u hashed from the id and the text, as
+far as their sizes' prefix sum goes; later documents of the last slice that still fit fill what is left, and at last one
+that brings the source nearer to its target. Documents are taken whole.
 
-The prefix sums are taken over slices of the key range, (source, slice) by (source, slice): only the slice in which the
-target falls is sorted, so a source with a third of all rows is never in one task.
+No source is sorted as a whole. Rows with the same id and text are counted first, so they are one row however many they are.
+Then the range of keys in which the prefix sum reaches the target is narrowed: quantiles of the keys in the range cut it
+into SLICES slices, prefix sums over the slices say which one it is, until a source's slice has SLICE_ROWS rows at most.
+The quantiles follow the keys, whatever the quality weights are. Only that slice is gathered, sorted and folded.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a source of its own, ordered last;
 repeated rows count each; ties of the key go by id, then text hash; an empty table gives an empty result.
@@ -17,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import broadcast_under, materialize, table
+from spanlake.llm.common import broadcast_under, materialize, table, with_row_key
 
 #: The sources' weights, repeating; the budget and the limit as multiples of sizes.
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MOST = 1.5, 2.0
-#: Rows that a slice of a source should hold on average; sources up to which their table is broadcast.
-SLICE_ROWS, BROADCAST_SOURCES = 20_000, 10_000
+#: Rows of a source that are sorted together at most; slices at a time; sources up to which their table is broadcast.
+SLICE_ROWS, SLICES, BROADCAST_SOURCES = 4_000, 64, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -32,10 +35,13 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """0.05 to 1: the share of spaces that follow a plain word ending in a letter, comma or full stop, as prose has them."""
+    """0.05 to 1, the product of: the share of spaces that follow a plain word ending in a letter, comma or full stop, as prose
+    has them; the share of lines that are no repeats; and for texts of under 50 words their length in relation to 50."""
     plain = F.regexp_count(text, F.lit(r"\p{L}[,.]?[ \n]"))
     breaks = F.regexp_count(text, F.lit(r"[ \n]"))
-    return F.coalesce(F.greatest(F.lit(0.05), (plain + 1) / (breaks + 1)), F.lit(0.05)).cast("double")
+    lines = F.split(text, "\n")
+    value = (plain + 1) / (breaks + 1) * F.size(F.array_distinct(lines)) / F.size(lines) * F.least(F.lit(1.0), (breaks + 1) / 50)
+    return F.greatest(F.lit(0.05), F.coalesce(value, F.lit(0.05))).cast("double")
 
 
 def targets(sizes: DataFrame, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -60,65 +66,98 @@ def targets(sizes: DataFrame, budget: float = BUDGET, most: float = MOST) -> Dat
     return w.withColumn("target", F.least(F.col("source_size") * most, level * F.col("weight"))).select("source", "source_size", "rows", "target")
 
 
+def _slice_of(keyed: DataFrame) -> DataFrame:
+    """__source, __lo, __hi, __before: the range of keys in which each source's prefix sum reaches its __rest, and the sum below.
+
+    A source has at most SLICE_ROWS rows in its range."""
+    sources = materialize(keyed.where("__rest > 0").groupBy("__source").agg(F.count("*").alias("__n")))
+    state = sources.select("__source", F.lit(float("-inf")).alias("__lo"), F.lit(float("inf")).alias("__hi"), F.lit(0).cast("long").alias("__before"), "__n")
+    shares = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    while True:
+        wide = state.where(F.col("__n") > SLICE_ROWS)
+        if not wide.limit(1).count():
+            return state.drop("__n")
+        wide = broadcast_under(wide.drop("__n"), BROADCAST_SOURCES)
+        same = F.col("__source").eqNullSafe(F.col("__of"))
+        inside = keyed.join(wide.withColumnRenamed("__source", "__of"), same).drop("__of").where((F.col("__key") > F.col("__lo")) & (F.col("__key") <= F.col("__hi")))
+        cuts = inside.groupBy(F.col("__source").alias("__of")).agg(F.percentile_approx("__key", shares, 2_000).alias("__cuts"))
+        dealt = inside.join(broadcast_under(materialize(cuts), BROADCAST_SOURCES), same).drop("__of")
+        dealt = dealt.withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col("__key"))))
+        sums = dealt.groupBy("__source", "__slice", "__lo", "__before", "__rest").agg(F.sum("__words").alias("__held"), F.max("__key").alias("__top"), F.count("*").alias("__n"))
+        upto = Window.partitionBy("__source").orderBy("__slice")
+        below = upto.rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumns({"__sum": F.col("__before") + F.coalesce(F.sum("__held").over(below), F.lit(0)), "__from": F.coalesce(F.max("__top").over(below), F.col("__lo"))})
+        # the first slice that goes beyond the target; slices of size 0 before it change nothing
+        here = sums.where(F.col("__sum") + F.col("__held") > F.col("__rest")).groupBy("__source").agg(F.min(F.struct("__slice", "__from", "__top", "__sum", "__n")).alias("s"))
+        found = here.select("__source", F.col("s.__from").alias("__lo"), F.col("s.__top").alias("__hi"), F.col("s.__sum").alias("__before"), F.col("s.__n").alias("__n"))
+        state = materialize(state.where(F.col("__n") <= SLICE_ROWS).unionByName(found))
+
+
+def _fill(rows: DataFrame) -> DataFrame:
+    """__source, __id, __tie, __extra: how many of the __m rows of each document of the slices are taken, in order of the keys:
+    as many as fit into what is left; then one of the first that brings its source nearer to the target than leaving it."""
+    each = rows.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("__key", "__id", "__tie", "__size", "__m"))).alias("a"), F.first(F.col("__rest") - F.col("__before")).alias("left"))
+    start = F.struct(F.col("left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.when(x["__size"] > 0, F.least(x["__m"], F.floor(F.greatest(F.lit(0.0), s["left"]) / x["__size"]).cast("long"))).otherwise(F.lit(0).cast("long"))
+        return F.struct((s["left"] - n * x["__size"]).alias("left"), F.concat(s["n"], F.array(n)).alias("n"))
+
+    folded = each.withColumn("f", F.aggregate("a", start, step))
+    both = F.arrays_zip(F.col("a"), F.col("f.n").alias("n"))
+    nearer = F.transform(both, lambda x: (x["n"] < x["a"]["__m"]) & (x["a"]["__size"] > 0) & (x["a"]["__size"] < 2 * F.col("f.left")))
+    found = folded.withColumn("more", F.array_position(nearer, F.lit(True))).select("__source", "more", F.posexplode(both).alias("at", "x"))
+    return found.select(F.col("__source").alias("__of"), F.col("x.a.__id").alias("__oid"), F.col("x.a.__tie").alias("__otie"), F.col("x.a.__size").alias("__osize"), (F.col("x.n") + (F.col("more") == F.col("at") + 1).cast("long")).alias("__extra"))
+
+
+def mix_groups(rows: DataFrame, size: str = "size", source: str = "source", quality: str = "quality", row_id: str = "doc_id", tie: str = "text_hash") -> DataFrame:
+    """__source, __id, __tie, __size, __quality, __m (rows that are equal in these), source_size, target, __epochs (how often
+    the mix takes each) and __extra (how many of them it takes once more)."""
+    named = {source: "__source", row_id: "__id", tie: "__tie", size: "__size", quality: "__quality"}
+    alike = materialize(rows.groupBy(*[F.col(c).alias(n) for c, n in named.items()]).agg(F.count("*").alias("__m")).withColumn("__words", F.col("__size") * F.col("__m")))
+    sizes = alike.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size"), F.sum("__m").alias("rows"))
+    plan = broadcast_under(materialize(targets(sizes)), BROADCAST_SOURCES).select(F.col("source").alias("__of"), "source_size", "target")
+    u = F.xxhash64(F.coalesce(F.col("__id"), F.lit(-1)), F.col("__tie"), F.lit("mix")).cast("double") / F.lit(2.0**64) + 0.5
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    keyed = alike.join(plan, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of").withColumn("__epochs", epochs)
+    keyed = keyed.withColumns({"__key": -F.log(F.greatest(u, F.lit(1e-300))) / F.col("__quality"), "__rest": F.col("target") - F.col("__epochs") * F.col("source_size")})
+    bounds = broadcast_under(materialize(_slice_of(keyed)), BROADCAST_SOURCES).withColumnRenamed("__source", "__of")
+    met = keyed.join(bounds, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of")
+    inside = (F.col("__key") > F.col("__lo")) & (F.col("__key") <= F.col("__hi"))
+    filled = _fill(met.where(inside))
+    same = F.col("__source").eqNullSafe(F.col("__of")) & F.col("__id").eqNullSafe(F.col("__oid")) & F.col("__tie").eqNullSafe(F.col("__otie")) & (F.col("__size") == F.col("__osize"))
+    part = met.where(inside).join(broadcast_under(materialize(filled), 100_000), same).drop("__of", "__oid", "__otie", "__osize")
+    whole = met.where(~F.coalesce(inside, F.lit(False))).withColumn("__extra", F.when(F.col("__key") <= F.col("__lo"), F.col("__m")).otherwise(0).cast("long"))
+    return whole.unionByName(part).drop("__key", "__rest", "__lo", "__hi", "__before", "__words")
+
+
 def mix(rows: DataFrame, size: str = "size", source: str = "source", quality: str = "quality", row_id: str = "doc_id", tie: str = "text_hash") -> DataFrame:
-    """rows and source_size, target, copies (how often the mix takes the row). Give a materialized table: it is read twice."""
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count("*").alias("rows"))
-    plan = broadcast_under(materialize(targets(sizes)), BROADCAST_SOURCES)
-    plan = plan.select(F.col("source").alias("__source"), "source_size", "rows", "target")
-    u = (F.xxhash64(F.coalesce(F.col(row_id), F.lit(-1)), F.col(tie), F.lit("mix")).cast("double") / F.lit(2.0**64) + 0.5).cast("double")
-    keyed = rows.join(plan, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = keyed.withColumn("__key", -F.log(F.greatest(u, F.lit(1e-300))) / F.col(quality))
-    slices = F.ceil(F.col("rows") / SLICE_ROWS)
-    keyed = keyed.withColumn("__slice", F.least(slices - 1, F.floor((1 - F.exp(-F.col("__key"))) * slices)).cast("long"))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    keyed = keyed.withColumn("__epochs", epochs).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    cuts = keyed.groupBy(F.col(source).alias("__source"), F.col("__slice").alias("__cut")).agg(F.sum(size).alias("__held"), F.first("__rest").alias("__need"))
-    upto = Window.partitionBy("__source").orderBy("__cut")
-    cuts = cuts.withColumn("__before", F.coalesce(F.sum("__held").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cuts = cuts.where((F.col("__before") <= F.col("__need")) & (F.col("__before") + F.col("__held") > F.col("__need"))).drop("__held", "__need")
-    # where sizes of 0 make more than one slice fit, the first is as good as any
-    cuts = broadcast_under(materialize(cuts.groupBy("__source").agg(F.min("__cut").alias("__cut"), F.min_by("__before", "__cut").alias("__before"))), BROADCAST_SOURCES)
-    joined = keyed.join(cuts, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    here = F.col("__slice") == F.col("__cut")
-    whole = joined.where(~F.coalesce(here, F.lit(False)))
-    whole = whole.withColumn("__taken", F.coalesce(F.col("__slice") < F.col("__cut"), F.lit(True)).cast("long"))
-    part = _fill(joined.where(here).withColumn("__left", F.col("__rest") - F.col("__before")), size, source, ["__key", row_id, tie]).drop("__left")
-    done = whole.unionByName(part)
-    return done.withColumn("copies", (F.col("__epochs") + F.col("__taken")).cast("long")).drop("__key", "__slice", "__epochs", "__rest", "__cut", "__before", "__taken", "rows")
-
-
-def _fill(rows: DataFrame, size: str, source: str, order: list[str], passes: int = 4) -> DataFrame:
-    """rows and __taken: those in order whose prefix sum stays in __left, then, pass by pass, later ones that still fit;
-    at last the first of the others that brings the source nearer to its target than leaving it."""
-    own = Window.partitionBy(source)
-    w = own.orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__taken", F.lit(0).cast("long"))
-    for _ in range(passes):
-        fits = (F.col("__taken") == 0) & (F.col(size) <= F.col("__left"))
-        rows = rows.withColumn("__sum", F.sum(F.when(fits, F.col(size))).over(upto)).withColumn("__new", fits & (F.col("__sum") <= F.col("__left")))
-        rows = rows.withColumn("__taken", F.greatest("__taken", F.col("__new").cast("long")))
-        rows = rows.withColumn("__left", F.col("__left") - F.coalesce(F.sum(F.when(F.col("__new"), F.col(size))).over(own), F.lit(0)))
-    nearer = (F.col("__taken") == 0) & (F.col(size) < 2 * F.col("__left"))
-    rows = rows.withColumn("__sum", F.sum(nearer.cast("int")).over(upto)).withColumn("__new", nearer & (F.col("__sum") == 1))
-    return rows.withColumn("__taken", F.greatest("__taken", F.col("__new").cast("long"))).drop("__sum", "__new")
+    """size, source, quality, row_id, tie of every row, and source_size, target, copies (how often the mix takes the row)."""
+    groups = mix_groups(rows, size, source, quality, row_id, tie)
+    each = groups.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
+    copies = (F.col("__epochs") + (F.col("__n") <= F.col("__extra")).cast("long")).alias("copies")
+    return each.select(F.col("__id").alias(row_id), F.col("__source").alias(source), F.col("__size").alias(size), F.col("__quality").alias(quality), F.col("__tie").alias(tie), "source_size", "target", copies)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), F.xxhash64("text").alias("text_hash"))
 
 
 def mix_documents(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, quality of every document, and the columns named in keep."""
-    rows = docs.select("doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), F.xxhash64("text").alias("text_hash"))
-    mixed = mix(materialize(rows))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "quality", *keep)
+    """doc_id, size, source_size, target, taken, copies, quality of every document, and source or text_hash if named in keep."""
+    return mix(_measured(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "quality", *keep)
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """Each row of docs as often as the mixture takes it. Rows with the same id and text are taken alike, as the most often
-    taken of them. All columns stay."""
-    key = F.xxhash64("text")
-    mixed = mix_documents(docs.withColumn("__hash", key), "__hash").where("copies > 0")
-    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__text")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__text", "__copies", "__copy")
+    """Each row of docs as often as the mixture takes it; all columns stay. Of rows that are equal in source, id and text the
+    ones taken once more are drawn by a hash of their places, as many on average as the mixture takes."""
+    groups = mix_groups(_measured(docs)).where("__epochs > 0 or __extra > 0")
+    copies = groups.select("__source", "__id", "__tie", "__m", "__epochs", "__extra")
+    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie"))
+    taken = with_row_key(docs, "__row").join(copies, same)
+    more = (F.col("__extra") == F.col("__m")) | (F.pmod(F.xxhash64("__row"), F.col("__m")) < F.col("__extra"))
+    taken = taken.withColumn("__n", F.col("__epochs") + more.cast("long")).where("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[taken[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,6 +400,31 @@ def test_weights_lead_to_more_of_the_better(spark):
     assert taken[True] > taken.get(False, 0)
 
 
+def test_slices_hold_few_rows_at_any_quality_and_repeats_are_one(spark, monkeypatch):
+    monkeypatch.setattr(op8_mixing, "SLICE_ROWS", 50)
+    seen = []
+    fill = op8_mixing._fill
+    monkeypatch.setattr(op8_mixing, "_fill", lambda rows: seen.append(rows.groupBy("__source").count().agg(F.max("count")).first()[0]) or fill(rows))
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "r").otherwise("s").alias("source"), (F.col("id") % 17 + 1).alias("size"), F.when(F.col("id") % 100 == 0, 1.0).otherwise(0.05).alias("quality"), F.col("id").alias("text_hash"))
+    same = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), F.lit(0.05).alias("quality"), F.lit(5).cast("long").alias("text_hash"))
+    for frame in (df, df.unionByName(same)):
+        got = op8_mixing.mix(frame).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 17 for r in got) and sum(r["n"] for r in got) == frame.count()
+    assert len(seen) == 2 and max(seen) <= 50
+
+
+def test_the_sample_follows_the_exponential_keys(spark):
+    """Of one source, what a prefix in order of -ln(u) / quality holds, by sorting it whole."""
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 13 + 1).alias("size"), ((F.col("id") % 7 + 1) / 7).alias("quality"), F.col("id").alias("text_hash"))
+    u = (F.xxhash64("doc_id", "text_hash", F.lit("mix")).cast("double") / F.lit(2.0**64) + 0.5)
+    order = [(r["k"], r["doc_id"], r["size"]) for r in df.withColumn("k", -F.log(u) / F.col("quality")).collect()]
+    got = {r["doc_id"]: r["copies"] for r in op8_mixing.mix(df).collect()}
+    left = 0.5 * sum(s for *_, s in order)
+    for _, i, s in sorted(order):
+        assert got[i] == 1 + (s <= left) or s < 2 * left < 2 * s
+        left -= s * (s <= left)
+
+
 ITEM = "A train leaves Berlin at 9 am with 120 people and travels 300 km to Munich where it stops for 15 minutes before it returns to Berlin again"
 
 
