@@ -15,7 +15,7 @@ similarity of 0.75 or more, and the components of those links.
    out, nor are large groups of texts that are alike but not enough, whose rarest shingles are their own.
 5. A pair is tried cheaply first: by sizes (exact) and by the low bits of the registers (beyond five standard
    deviations only), then the joint likelihood of the registers estimates the similarity (same margin), then the whole
-   sets are intersected. Only that last comparison makes a link.
+   sets are intersected. Only that last comparison makes a link. A set that has many partners is sent out in salted copies.
 6. Components: large-star and small-star rounds on the links, each written to the shared folder.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer than five words make one
@@ -30,14 +30,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import WordHashes, broadcast_under, materialize, table
+from spanlake.llm.common import WordHashes, broadcast_under, materialize, table, with_row_key
 
 #: Fixed values of the contract.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Registers, their base and rate; bands of registers; margins of the estimates in standard deviations.
 M, BASE, RATE, BANDS, ROWS, MARGIN = 256, 1.02, 20.0, 51, 5, 5.0
-#: Shingles that are sketched at a time; ids up to which their table is broadcast.
-CHUNK, BROADCAST_IDS = 1 << 17, 1_000_000
+#: Shingles that are sketched at a time; ids up to which their table is broadcast; ratio of sizes that one step joins; partners
+#: of a set, and members of a shingle, that go to one task.
+CHUNK, BROADCAST_IDS, STEP, PARTNERS, MEMBERS = 1 << 17, 1_000_000, 1.05, 500, 2_000
 
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, b0 long, b1 long, b2 long, b3 long"
 SET = "rep long, n long, registers binary, shingles binary"
@@ -185,10 +186,24 @@ def _possible(a: str, b: str):
     return (F.least(n_a, n_b) * DENOMINATOR >= F.greatest(n_a, n_b) * NUMERATOR) & (bits <= int(most))
 
 
+def _salted(many: DataFrame, one: DataFrame, key: list[str], spread: str, most: int) -> DataFrame:
+    """many joined with one on key. A key of more than `most` rows of many is dealt over tasks by the column spread, and its
+    row of one is repeated as often."""
+    counts = many.groupBy(*key).agg(F.count("*").alias("__c")).where(F.col("__c") > most)
+    hot = materialize(counts.select(*key, F.ceil(F.col("__c") / most).cast("long").alias("__parts")))
+    if not hot.limit(1).count():
+        return many.join(one, key)
+    hot = broadcast_under(hot, BROADCAST_IDS)
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    left = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), parts)).drop("__parts")
+    right = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    return left.join(right, [*key, "__salt"]).drop("__salt")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("shingles").alias("sb"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
+    whole = _salted(_salted(pairs, left, ["a"], "b", PARTNERS), right, ["b"], "a", PARTNERS).select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
     return materialize(whole.mapInArrow(_links, "a long, b long").distinct())
 
 
@@ -239,12 +254,33 @@ def _across(prefixes: DataFrame, traits: DataFrame, joined: DataFrame) -> DataFr
     each = known.groupBy("token", "component").agg(F.count("*").alias("held"))
     mixed = each.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("largest")).where("parts > 1").drop("parts")
     mixed = materialize(known.join(mixed, "token"))
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep")))
-    # the first shingle that two sets share leaves at most this many to share: the rest after its place in either
+    # a pair's smaller set (or either of equal ones) is met by the larger one, each through its own places
+    total, bound = NUMERATOR + DENOMINATOR, lambda n: F.ceil(n * NUMERATOR / DENOMINATOR)
+    rest = F.col("n") - F.col("place")
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(STEP)) + 1e-9).cast("int")
+    small = mixed.where(rest * total >= 2 * NUMERATOR * F.col("n")).withColumn("size", step(F.col("n")))
+    most = F.least(F.col("n"), F.floor(rest * total / NUMERATOR) - F.col("n"))
+    large = mixed.where(most >= bound(F.col("n"))).withColumn("size", F.explode(F.sequence(step(bound(F.col("n"))), step(most))))
+    pairs = _meet(small.where("component <> largest"), large).unionByName(_meet(small.where("component = largest"), large.where("component <> largest")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _meet(small: DataFrame, large: DataFrame) -> DataFrame:
+    """x, y: members of different components that share a token at places that leave enough, and may be similar enough."""
+    fields = ["rep", "n", "place", "component", "b0", "b1", "b2", "b3"]
+    side = lambda rows, name: rows.select("token", "size", F.struct(*fields).alias(name))
+    counts = lambda rows, name: rows.groupBy("token", "size").agg(F.count("*").alias(name))
+    hot = counts(small, "s").join(counts(large, "l"), ["token", "size"]).where(F.greatest("s", "l") > MEMBERS)
+    hot = broadcast_under(materialize(hot.select("token", "size", F.ceil(F.col("s") / MEMBERS).cast("int").alias("sp"), F.ceil(F.col("l") / MEMBERS).cast("int").alias("lp"))), BROADCAST_IDS)
+    own = lambda name, p: F.pmod(F.xxhash64(f"{name}.rep"), F.coalesce(p, F.lit(1))).cast("int")
+    every = lambda p: F.explode(F.sequence(F.lit(0), F.coalesce(p, F.lit(1)) - 1))
+    # a hot group is a grid: each member of one side meets each part of the other
+    x = side(small, "x").join(hot, ["token", "size"], "left").withColumn("i", own("x", "sp")).withColumn("j", every("lp")).drop("sp", "lp")
+    y = side(large, "y").join(hot, ["token", "size"], "left").withColumn("j", own("y", "lp")).withColumn("i", every("sp")).drop("sp", "lp")
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = rest * (NUMERATOR + DENOMINATOR) >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
-    pairs = mixed.where("component <> largest").alias("x").join(mixed.alias("y"), apart & enough & _possible("x", "y"))
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    met = x.join(y, ["token", "size", "i", "j"]).where((F.col("x.component") != F.col("y.component")) & enough & _possible("x", "y"))
+    return met.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,17 +313,20 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of its least id; rows without id stay. All columns stay."""
-    found = near_duplicates(docs).where("doc_id is not null and kept").groupBy(F.col("doc_id").alias("__id")).count()
+    """docs with one row of each component, that of its least id; all columns stay. A row without id is a document of its own
+    that counts after those with ids, so copies without ids go too."""
+    own = F.shiftrightunsigned(F.col("__row"), 2) + F.lit(1 << 62)
+    named = with_row_key(docs, "__row").withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), own))
+    found = near_duplicates(named, "__doc").where("kept").groupBy(F.col("doc_id").alias("__id")).count()
     ids = materialize(found)
-    same = F.col("doc_id") == F.col("__id")
+    same = F.col("__doc") == F.col("__id")
     once, often = ids.where("count = 1"), ids.where("count > 1")
-    kept = docs.join(once, same, "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = named.join(once, same, "left_semi")
     if often.limit(1).count():  # rows that share an id: the one with the least text stands for them
-        w = Window.partitionBy("doc_id").orderBy("text")
-        first = docs.join(often, same, "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-        kept = kept.unionByName(first)
-    return kept
+        first = named.join(often, same, "left_semi").select("__doc", "text", "__row").groupBy("__doc").agg(F.min(F.struct("text", "__row"))["__row"].alias("__first"))
+        first = first.withColumnRenamed("__doc", "__of")
+        kept = kept.unionByName(named.join(first, (F.col("__doc") == F.col("__of")) & (F.col("__row") == F.col("__first")), "left_semi"))
+    return kept.drop("__row", "__doc")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,6 +319,45 @@ def test_near_duplicates_in_chains_and_beside_the_limit(spark):
     assert got == brute_components(texts)
 
 
+def template_pages(n, shared=104, own=20, seed=6):
+    """Pages of one template: most of each is shared, not enough of it; a few pairs are alike enough."""
+    import random
+
+    rng = random.Random(seed)
+    core = [f"c{i}" for i in range(shared)]
+    texts = {i: " ".join([*core, *(f"o{rng.randrange(10**9)}" for _ in range(own))]) for i in range(n)}
+    for i in range(0, n, 50):
+        w = texts[i].split()
+        texts[10**6 + i] = " ".join([*w[:-3], "other", "last", "words"])
+    return texts
+
+
+def test_pages_of_one_template_are_not_paired_with_each_other(spark, monkeypatch):
+    texts = template_pages(400)
+    made = []
+    monkeypatch.setattr(op6_neardup, "_meet", lambda s, l, meet=op6_neardup._meet: made.append(s.alias("s").join(l.alias("l"), ["token", "size"]).count()) or meet(s, l))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op6_neardup.near_duplicates(df).collect()}
+    assert got == brute_components(texts)
+    assert sum(made) < 400 * 20  # rows that meet at all; pairs are 80,000
+
+
+def test_hot_keys_in_salted_parts_give_the_same(spark, monkeypatch):
+    texts = template_pages(60, shared=120, own=8) | template_pages(30, shared=40, own=4, seed=8)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(op6_neardup, "PARTNERS", 3)
+    monkeypatch.setattr(op6_neardup, "MEMBERS", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op6_neardup.near_duplicates(df).collect()}
+    assert got == brute_components(texts)
+
+
+def test_copies_without_ids_go_too(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (5, text), (7, text), (None, "alone"), (None, None), (9, "b"), (9, "a"), (9, "a")]
+    got = op6_neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "alone"), (5, text), (9, "a")]
+
+
 def test_registers_merge_and_estimate():
     import numpy as np
 
