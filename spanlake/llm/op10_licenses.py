@@ -5,8 +5,10 @@ votes for the diagonal document position - template position. Neighbouring diago
 put in) are merged into spans, and a span is verified by the distinct template positions that voted for it: all of them
 on one diagonal for a base phrase, a share of them for the longer license texts.
 
-Templates are a fixed table of about a hundred k-grams, so their side is broadcast. Documents are read once; what is
-shuffled, once, by document, is the hits and one mark for each document, whose row would else be lost in the inner join.
+Templates are a fixed table of some hundred k-grams (TEXTS), so their side is broadcast; a template may have any number of
+k-grams, whose votes are counted in blocks of 64 bits. Documents are read once; what is shuffled is the hits and one mark for
+each document, whose row would else be lost in the inner join, both counted up before, so that rows that repeat an id and a
+text are one however many they are.
 
 Defined results: a null or empty text has no words: counts 0, no positions, empty labels, score 0. Rows that repeat the
 same id and text each get the same result. Texts of any length are scanned whole. An empty table gives an empty result.
@@ -52,31 +54,33 @@ def _grams(words: Column) -> Column:
     return F.when(F.size(words) >= K, F.transform(starts, gram)).otherwise(F.array().cast("array<bigint>"))
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """gram, label, kind (base, text, mark), pos of the k-gram and total of them; a template has under 64 k-grams."""
-    lines = [(text, label, "base") for text, label in BASE.items()] + [(text, label, "text") for label, text in TEXTS.items()]
+def template_grams(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """gram, label, kind (base, text, mark), pos of the k-gram and total of them."""
+    lines = [(text, label, "base") for text, label in BASE.items()] + [(text, label, "text") for label, text in (TEXTS if texts is None else texts).items()]
     values = ", ".join(f"('{text}', '{label}', '{kind}')" for text, label, kind in lines)
     templates = spark.sql(f"SELECT split(text, ' ') AS words, label, kind FROM VALUES {values} AS t(text, label, kind)")
     grams = templates.select(F.posexplode(_grams(F.col("words"))).alias("pos", "gram"), "label", "kind", (F.size("words") - K + 1).alias("total"))
     return grams.unionByName(spark.sql("SELECT 0 AS pos, 0L AS gram, '' AS label, 'mark' AS kind, 0 AS total"))
 
 
-def license_spans(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, key: list[str], text: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """One row a span and one of kind mark a document: key, n_words, label, kind, first, last, votes, total, copies.
 
-    first and last are the words where the span's first and last k-gram begin; copies counts rows with the same key.
+    first and last are the words where the span's first and last k-gram begin; copies counts rows with the same key. texts:
+    label -> license text in lower-case words, of any length, instead of TEXTS.
     """
     rows = docs.select(*key, words_of(F.col(text)).alias("__words"))
     marked = F.concat(_grams(F.col("__words")), F.array(F.lit(0).cast("bigint")))
     grams = rows.select(*key, F.size("__words").cast("long").alias("n_words"), F.posexplode(marked).alias("__at", "gram"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
-    hits = hits.withColumn("diagonal", F.when(F.col("kind") == "mark", F.lit(0)).otherwise(F.col("__at") - F.col("pos"))).repartition(*key)
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, texts)), "gram")
+    hits = hits.withColumn("diagonal", F.when(F.col("kind") == "mark", F.lit(0)).otherwise(F.col("__at") - F.col("pos"))).withColumn("block", F.floor(F.col("pos") / 64))
     keys = [*key, "n_words", "label", "kind", "total"]
-    votes = hits.groupBy(*keys, "diagonal").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.expr("bit_or(shiftleft(1L, pos))").alias("covered"), F.count("*").alias("hits"))
-    w = Window.partitionBy(*keys).orderBy("diagonal")
+    votes = hits.groupBy(*keys, "diagonal", "block").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.expr("bit_or(shiftleft(1L, pos % 64))").alias("covered"), F.count("*").alias("hits")).repartition(*key)
+    w = Window.partitionBy(*keys).orderBy("diagonal", "block")
     apart = (F.col("kind") == "base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > NEAR, F.lit(True))
     votes = votes.withColumn("span", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = votes.groupBy(*keys, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.expr("bit_count(bit_or(covered))").alias("votes"), F.sum("hits").alias("copies"))
+    blocks = votes.groupBy(*keys, "span", "block").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.expr("bit_count(bit_or(covered))").alias("votes"), F.sum("hits").alias("copies"))
+    spans = blocks.groupBy(*keys, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"), F.sum("copies").alias("copies"))
     enough = (F.col("votes") >= F.greatest(F.lit(LEAST), F.ceil(F.col("total") * SHARE))) & (F.col("last") - F.col("first") < 2 * F.col("total"))
     good = F.when(F.col("kind") == "base", F.col("votes") == F.col("total")).when(F.col("kind") == "text", enough).otherwise(F.lit(True))
     return spans.where(good)

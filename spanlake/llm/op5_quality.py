@@ -4,9 +4,9 @@ Features of a text are the shares of its hashed word uni- and bigrams, and of th
 (runs of upper-case, lower-case and digit characters as one sign, marks as themselves) and of words that repeat the one
 before. A score is the sparse dot product of these with the weights, as a probability of label 1.
 
-The classifier learns from about `sample` labelled rows at most, drawn by a hash of the id (a bounded fit); features of
-the sample are made on the executors and read one after another. Every text is scored whole; the weights are one vector
-of fixed size.
+The classifier learns from about `sample` different labelled texts at most, drawn by a hash of id and text (a bounded fit: rows
+that repeat an id, a text and a label are one); features of the sample are made on the executors, at most one number for each
+of the 2^BITS, and read one after another. Every text is scored whole; the weights are one vector of fixed size.
 
 Defined results: a null or blank text has the bias as its only feature; ids without label or with a null or other label
 are scored only; an id with both labels is learnt with both; without any label every score is 0.5; null ids are scored;
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import broadcast_under, residue, table
+from spanlake.llm.common import residue, table
 
 #: Fixed values of the contract: rows with remainder 0 are held out; scores from here on count as label 1.
 MODULUS, HELD_OUT, LIMIT = 5, 0, 0.3
@@ -41,7 +41,7 @@ class Shapes(dict):
 
         if len(self) >= self.most:
             self.clear()
-        shape = _RUN.sub(rb"\1", word.translate(self.signs))[:12]
+        shape = _RUN.sub(rb"\1", word.translate(self.signs))
         self[word] = value = xxhash.xxh32_intdigest(word.lower()) << 32 | xxhash.xxh32_intdigest(shape)
         return value
 
@@ -108,13 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     import numpy as np
 
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (residue(F.col("doc_id"), MODULUS) != HELD_OUT)).select("doc_id", F.col(label).cast("int").alias("__label")).distinct()
-    count = known.count()
+    named = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").withColumn("hash", F.xxhash64("text"))
+    count = named.agg(F.approx_count_distinct(F.struct("doc_id", "__label", "hash"), 0.02)).first()[0]
     if not count:
         return None
-    u = F.xxhash64("doc_id", F.lit("quality")).cast("double") / F.lit(2.0**64) + 0.5
-    drawn = broadcast_under(known.where(u < min(1.0, sample / count)), 4 * sample)
-    counted = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(drawn, "doc_id").select("doc_id", "text", "__label")
-    got = counted.mapInArrow(_counted, "doc_id long, label int, index binary, count binary, words long").collect()
+    u = F.xxhash64("doc_id", "hash", F.lit("quality")).cast("double") / F.lit(2.0**64) + 0.5
+    drawn = named.where(u < min(1.0, sample / count)).dropDuplicates(["doc_id", "__label", "hash"])
+    got = drawn.select("doc_id", "text", "__label").mapInArrow(_counted, "doc_id long, label int, index binary, count binary, words long").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
     return ftrl([(r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32), r[4]) for r in got]) if got else None
 

@@ -271,6 +271,58 @@ def test_quality(spark, sf):
     assert not pairs or sum(pairs) / len(pairs) > 0.9
 
 
+def plain_ftrl(rows, epochs):
+    """The same updates number by number, with dicts."""
+    import numpy as np
+
+    z, n, rng = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(3)
+    o, bias = op5_quality, 1 << op5_quality.BITS
+
+    def weight(i):
+        l1 = 0 if i == bias else o.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((o.BETA + math.sqrt(n[i])) / o.ALPHA + o.L2 * (i != bias))
+
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            label, counts, words_ = rows[r]
+            x = {i: c * o.SCALE / max(words_, 1) for i, c in counts.items()} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / o.ALPHA * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_quality_against_plain_updates(spark):
+    import random
+
+    rng = random.Random(9)
+    good, bad = ["The old river was calm.", "They met, again, in spring."], ["BUY NOW 777 !!! $$$", "click click click http://x.y/z?q=1"]
+    texts = {i: " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(1, 9))) for i in range(60)} | {60: "", 61: None}
+    truth = [(i, i % 2, 0) for i in range(50)]
+    got = op5_quality.classify(spark.createDataFrame(list(texts.items()) + [(3, texts[3])] * 5, "doc_id long, text string"), labels(spark, truth * 3)).collect()
+    shapes = op5_quality.Shapes()
+    feats = {}
+    for i, t in texts.items():
+        found, n = op5_quality.indexes((t or "").encode(), shapes)
+        feats[i] = (collections.Counter(found.tolist()), n)
+    rows = sorted(((i, y) for i, y, _ in truth if crc(i, 5) != 0), key=lambda r: r)
+    weight = plain_ftrl([(y, *feats[i]) for i, y in rows], op5_quality.EPOCHS)
+    for r in got:
+        counts, n = feats[r["doc_id"]]
+        want = 1 / (1 + math.exp(-(sum(c * weight(k) for k, c in counts.items()) * op5_quality.SCALE / max(n, 1) + weight(1 << op5_quality.BITS))))
+        assert r["score"] == pytest.approx(want, abs=1e-5) and r["predicted"] == (r["score"] >= 0.3)
+    assert len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+
+
+def test_long_shapes_differ_after_their_start():
+    a, b = b"aA" * 20 + b"7", b"aA" * 20 + b"!"
+    shapes = op5_quality.Shapes()
+    assert shapes[a] & 0xFFFFFFFF != shapes[b] & 0xFFFFFFFF
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
@@ -377,6 +429,44 @@ def test_language(docs, rows):
     assert sum(got[i]["lang_pred"] == rows[i]["lang"] for i in held) > 0.95 * len(held)
 
 
+def test_language_against_plain_decoding(docs, rows):
+    """Each text's margins and losses number by number, from the trained weights."""
+    model = op7_language.train(docs)
+    names, code, w, b = model
+    got = {r["doc_id"]: r for r in op7_language.identify(docs).collect()}
+    for i in list(rows)[:40]:
+        text = (rows[i]["text"] or "").encode()
+        flat = " ".join("".join(chr(c) if c >= 128 or chr(c).isalpha() else " " for c in text.lower()).split()).encode("latin-1")
+        flat = b" " + flat + b" "
+        grams = collections.Counter((((flat[k] | flat[k + 1] << 8 | flat[k + 2] << 16) * 0x9E3779B1) & 0xFFFFFFFF) >> 19 for k in range(len(flat) - 2))
+        if not any(c.isalpha() for c in rows[i]["text"] or ""):
+            continue
+        total = sum(grams.values())
+        margin = [float(b[j]) + sum(math.sqrt(100 * c / total) * float(w[k, j]) for k, c in grams.items()) for j in range(code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-float(code[g, j]) * margin[j])) for j in range(len(margin))) for g in range(len(names))]
+        best = min(range(len(names)), key=lambda g: loss[g])
+        assert got[i]["lang_pred"] == names[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-3)
+        assert got[i]["distance"] == pytest.approx(loss[best] / len(margin), abs=1e-3)
+
+
+def test_texts_with_letters_stay_where_nothing_is_learnt(odd):
+    kept = op7_language.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 3, 3, 3, 4, 6, 7]
+
+
+def test_many_languages_fit_the_driver(spark):
+    import random
+
+    rng = random.Random(1)
+    stems = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(stems[i % 40]) for _ in range(40)), f"l{i % 40}") for i in range(1200)], "doc_id long, text string, lang string")
+    got = op7_language.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
+    code = op7_language.codewords(300)
+    assert min((code[i] != code[j]).sum() for i in range(300) for j in range(i)) >= 23
+
+
 def test_codewords_are_apart():
     import numpy as np
 
@@ -590,6 +680,16 @@ def test_licenses(spark, odd, docs, rows):
     assert got[1]["n_base"] == 4 and got[5]["labels"] == "apache-2.0" and 0.8 <= got[5]["score"] < 1 and got[6]["labels"] == ""
 
 
+def test_license_texts_of_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    words_ = long.split()
+    docs = spark.createDataFrame([(1, long), (2, " ".join(words_[:170])), (3, " ".join(words_[:90] + ["x"] + words_[90:])), (4, " ".join(words_[:100])), (None, ""), (None, "")], "doc_id long, text string")
+    spans = op10_licenses.license_spans(docs, ["doc_id"], texts={"long": long}).where("kind = 'text'").collect()
+    assert {r["doc_id"]: (r["votes"], r["total"]) for r in spans} == {1: (199, 199), 2: (169, 199), 3: (198, 199)}
+    marks = op10_licenses.license_spans(docs, ["doc_id"]).where("kind = 'mark' and doc_id is null").collect()
+    assert [r["copies"] for r in marks] == [2]
+
+
 def test_excerpts_of_long_items_are_found(spark):
     item = [f"word{i}" for i in range(500)]
     slots = [x for i in range(40) for x in ((f"word{i}", "7", "km", "Rome") if i % 10 else ("plain",))]
