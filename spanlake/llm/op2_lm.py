@@ -12,9 +12,10 @@ give the normaliser of every pair of classes; scoring a token is four look-ups.
 chance (c+1) / (N_class + V_class + 1) in its class, so that log-probabilities are normalised over all known words and
 one unknown word a class.
 
-Training. A pilot on the driver (a bounded sample, PILOT rows) gives the start; then every task runs noise-contrastive
-updates over all training tokens of its split, and the parameters are averaged, weighted by tokens. All training
-rows take part at every size.
+Training. A pilot on the driver gives the start, from about PILOT tokens drawn one by one by a hash of their text (a bounded
+sample, however long a text is); then every task runs noise-contrastive updates over all training tokens of its split, and
+the parameters are averaged in a tree of FAN at a time, weighted by tokens. All training rows take part at every size. As in
+any parameter averaging, the result depends on how the files are split, but not on when tasks run or rerun.
 
 Defined results: a null or empty text is only its end; rows with a null id are scored and never learnt from; repeated
 rows are learnt as often as they occur and each get the same result; without training rows both scores are 0 for every
@@ -35,11 +36,12 @@ from spanlake.llm.common import materialize, residue, table
 #: Fixed values of the contract: rows with this remainder are held out.
 MODULUS, HELD_OUT = 7, 2
 #: Classes: WORDS frequent words, SHARED groups of the others, the end. Vectors of DIM. Words whose counts are broadcast.
-WORDS, SHARED, DIM, HOT = 448, 63, 24, 1 << 19
+WORDS, SHARED, DIM, HOT = 960, 63, 24, 1 << 19
 CLASSES = WORDS + SHARED + 1
 END = CLASSES - 1
-#: Training rows of the pilot; noise samples; tokens and distinct trigrams that are learnt at a time; step size.
-PILOT, NOISE, CHUNK, BATCH, RATE = 3_000, 64, 2_000_000, 4_096, 0.15
+#: Tokens of the pilot, and how often it reads them; noise samples; tokens and distinct trigrams that are learnt at a time;
+#: step size; parameters that are averaged by one task.
+PILOT, PILOT_EPOCHS, NOISE, CHUNK, BATCH, RATE, FAN = 1_000_000, 3, 64, 1_000_000, 4_096, 0.15, 64
 FLUSH = 400_000
 
 
@@ -165,11 +167,12 @@ class Model:
         self.parameters = [np.array(p, np.float32) for p in start]
         self.squares, self.noise, self.weight = [np.full_like(p, 0.1) for p in self.parameters], noise, 0
 
-    def learn(self, codes) -> None:
-        """codes: (u * CLASSES + v) * CLASSES + w of each token."""
+    def learn(self, codes, counts=None) -> None:
+        """codes: (u * CLASSES + v) * CLASSES + w of each token, or of different ones with their counts."""
         import numpy as np
 
-        codes, counts = np.unique(codes, return_counts=True)
+        if counts is None:
+            codes, counts = np.unique(codes, return_counts=True)
         order = self.rng.permutation(len(codes))
         for part in np.array_split(order, 1 + len(order) // BATCH):
             if len(part):
@@ -263,13 +266,27 @@ def train(rows: DataFrame, vocabulary) -> list:
     import numpy as np
 
     v = vocabulary.value
-    share = min(1.0, PILOT / max(1, v.ends))
-    u = F.xxhash64("doc_id", F.lit("pilot")).cast("double") / F.lit(2.0**64) + 0.5
+    rate = min(1.0, PILOT / max(1, v.n))
+
+    def draw(batches) -> Iterator:
+        import pyarrow as pa
+
+        index = Index(vocabulary.value)
+        for b in batches:
+            found = [np.empty(0, np.int64)]
+            for text in b.column(0).to_pylist():
+                codes = trigrams(_classes(index.of(_words(text)), index.v))
+                found.append(codes[np.random.default_rng(xxhash.xxh32_intdigest(text or b"")).random(len(codes)) < rate])
+            codes, counts = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
+
+    drawn = rows.select("text").mapInArrow(draw, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(drawn.column("code").to_numpy())
+    codes, counts = (drawn.column(c).to_numpy()[order] for c in ("code", "n"))
     pilot = Model(v.noise)
-    drawn = sorted((r[0], bytes(r[1] or b"")) for r in rows.where(u < share).select("doc_id", "text").collect())
-    index = Index(v)
-    for _ in range(3):
-        _learn((t for _, t in drawn), pilot, index)
+    for _ in range(PILOT_EPOCHS):
+        if len(codes):
+            pilot.learn(codes, counts)
     start = rows.sparkSession.sparkContext.broadcast(pilot.parameters)
 
     def run(batches) -> Iterator:
@@ -293,7 +310,9 @@ def train(rows: DataFrame, vocabulary) -> list:
 
     kind = "weight long, flat binary"
     each = materialize(rows.select("text").mapInArrow(run, kind))
-    sums = each.coalesce(8).mapInArrow(add, kind).collect()
+    while (n := each.count()) > FAN:
+        each = materialize(each.repartition(-(-n // FAN)).mapInArrow(add, kind))
+    sums = sorted(map(tuple, each.collect()))
     if not sums:
         return pilot.parameters
     flat = sum(np.frombuffer(r[1]) for r in sums) / sum(r[0] for r in sums)

@@ -146,6 +146,36 @@ def test_language_model(spark, docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_against_plain_softmax(spark, docs, rows, monkeypatch):
+    """Each text's score token by token from the trained parameters; the parameters averaged in a tree."""
+    import numpy as np
+
+    monkeypatch.setattr(op2_lm, "FAN", 2)
+    training = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2").select("doc_id", F.col("text").cast("binary").alias("text"))
+    _, v = op2_lm.gather(training)
+    c1, c2, out, bias = (np.asarray(p, float) for p in op2_lm.train(training, spark.sparkContext.broadcast(v)))
+    got = {r["doc_id"]: r["score"] for r in op2_lm.score(docs).collect()}
+    counts = collections.Counter(x for i, r in rows.items() if crc(i, 7) != 2 for x in words(r["text"]))
+    head = {op2_lm.xxhash.xxh64_intdigest(w) - (1 << 63): w for w in counts}
+    number = {head[h]: k for k, h in enumerate(v.hashes[: op2_lm.WORDS].tolist())}
+    group_n, group_v = collections.Counter(), collections.Counter()
+    for w, c in counts.items():
+        if w not in number:
+            group_n[op2_lm.shared_class(w)] += c
+            group_v[op2_lm.shared_class(w)] += 1
+    for i in list(rows)[:25]:
+        total, u, v_ = 0.0, op2_lm.END, op2_lm.END
+        for w in [*words(rows[i]["text"]), None]:
+            k = op2_lm.END if w is None else number.get(w, op2_lm.WORDS + op2_lm.shared_class(w))
+            s = (c1[u] + c2[v_]) @ out.T + bias
+            total += (s[k] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10)
+            if w is not None and w not in number:
+                g = op2_lm.shared_class(w)
+                total += math.log10((counts[w] + 1) / (group_n[g] + group_v[g] + 1))
+            u, v_ = v_, k
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-2)
+
+
 def test_language_model_is_normalised():
     import numpy as np
 
