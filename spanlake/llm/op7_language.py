@@ -26,7 +26,7 @@ from spanlake.llm.common import residue, table
 
 #: Fixed values of the contract: rows with this remainder are held out.
 MODULUS, HELD_OUT, UND = 4, 2, "und"
-BUCKETS, SAMPLE, TEXTS, EPOCHS, RATE, AMBIGUOUS, FAR = 1 << 13, 600, 24_000, 30, 0.05, 0.6, 0.65
+BUCKETS, SAMPLE, TEXTS, EPOCHS, RATE, AMBIGUOUS, FAR = 1 << 13, 600, 24_000, 30, 0.05, 0.6, 0.6
 #: Documents that are scored at a time, and bytes of text.
 ROWS, BYTES = 256, 1 << 22
 
