@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +62,12 @@ def place_of(spark: SparkSession, keys, side: str = "left"):
     """A function of three long columns: how many of the sorted packed keys are below them (side right: or equal)."""
     shared = spark.sparkContext.broadcast(keys)
 
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         import numpy as np
 
-        return pd.Series(np.searchsorted(shared.value, packed(a, b, c), side=side), dtype="int64")
+        return pa.array(np.searchsorted(shared.value, packed(a, b, c), side=side), pa.int64())
 
-    return F.pandas_udf(run, "long")
+    return F.arrow_udf(run, "long")
 
 
 def sampled_keys(rows: DataFrame, columns: list[str], weight: str, rate: float, salt: int):
@@ -96,7 +96,7 @@ def quantile_keys(keys, weights, parts: int):
 class WordHashes(dict):
     """64-bit hashes of words, computed once each and forgotten together when there are too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

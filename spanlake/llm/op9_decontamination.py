@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +54,7 @@ CAPITAL, END, DIGIT, IS_UNIT = 1, 2, 4, 8
 class Tokens(dict):
     """Raw word -> 60-bit hash of the plain word, and in the lowest four bits what decides about its type; 0: only marks."""
 
-    most = 300_000
+    most = 150_000
 
     def __missing__(self, raw: bytes) -> int:
         import xxhash
@@ -192,11 +191,13 @@ def index_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     each = materialize(rows.mapInArrow(_item_windows, ITEM))
     owners = each.groupBy("hash").agg(F.countDistinct("item").alias("owners"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        anchor = anchors_of(group["owners"].tolist(), group["place"].tolist(), bool(group["whole"].iloc[0]))
-        return group.drop(columns="owners").assign(anchor=anchor)
+    def run(group):
+        import pyarrow as pa
+
+        anchor = anchors_of(*(group.column(c).to_pylist() for c in ("owners", "place")), group.column("whole")[0].as_py())
+        return group.drop_columns(["owners"]).append_column("anchor", pa.array(anchor))
 
-    return materialize(each.join(owners, "hash").select(*each.columns, "owners").groupBy("item").applyInPandas(run, ITEM + ", anchor boolean"))
+    return materialize(each.join(owners, "hash").select(*each.columns, "owners").groupBy("item").applyInArrow(run, ITEM + ", anchor boolean"))
 
 
 class Bitmap:
