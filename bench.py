@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ HEADLINE = ("rank_calibrate", "evidence_map", "candidate_islands", "refine_candi
 
 
 def main() -> None:
-    conf = {"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "4g")}
+    conf = {"spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-"), "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "4g")}
     spark = SparkSession.builder.master(f"local[{CPUS}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     from spanlake.queries import QUERIES

@@ -36,8 +36,10 @@ def format_timestamp_precise(seconds: Column) -> Column:
 
 
 def safe_stem(text: Column) -> Column:
-    """A file name's stem with runs of other signs than letters, digits, '.', '_' and '-' as one '_'."""
-    return F.regexp_replace(F.regexp_replace(text, r"\.[^./\\]*$", ""), r"[^A-Za-z0-9._-]+", "_")
+    """A file name's stem with runs of other signs than letters, digits, '.', '_' and '-' as one '_': its first 80 signs, or
+    `video` if there are none."""
+    stem = F.regexp_replace(F.regexp_replace(text, r"\.[^./\\]*$", ""), r"[^A-Za-z0-9._-]+", "_")
+    return F.coalesce(F.nullif(F.substring(stem, 1, 80), F.lit("")), F.lit("video"))
 
 
 def interval_cache_key(path: Column, start: Column, end: Column, prefix: str = "interval") -> Column:

@@ -1,18 +1,20 @@
 """On-screen text: hits of scans, merging of appearances, consensus of readings, and texts that recur.
 
 Merging, consensus and grouping compare texts by matching blocks in a given order, which has no form in SQL: they run as
-pandas groups, one recording's (or one appearance's) rows at a time, which a scan's windows keep small.
+pandas groups: one island of hits in time, one appearance's readings, or one recording's matches.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import normalized_ocr, reading_key, reading_similarity
+from spanlake.operators.candidates import islands
 
 #: Slack in seconds; least similarities of texts and descriptions; weights of a reading's source.
 SLACK, SAME_TEXT, SAME_DESCRIPTION, ONLY_DESCRIPTION, SAME_ENTITY = 1.25, 0.78, 0.35, 0.65, 0.90
@@ -66,59 +68,84 @@ def _alike(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
 
 
-def _same_appearance(row: dict, other: dict) -> bool:
-    if other["start"] > row["end"] + SLACK:
-        return False
-    described = row["target_description"] and other["target_description"]
-    alike = _alike(row["target_description"] or "", other["target_description"] or "")
-    if row["ocr_text"] and other["ocr_text"]:
-        return reading_similarity(row["ocr_text"], other["ocr_text"]) >= SAME_TEXT and (alike >= SAME_DESCRIPTION or not described)
-    return alike >= ONLY_DESCRIPTION
+class Appearance:
+    """Scan hits that show one text: how far they reach, and the hit that speaks for them, the most confident one."""
+
+    def __init__(self, hit: dict):
+        self.hits, self.reach, self.voice = [hit], hit["end"], hit
+
+    def add(self, hit: dict) -> None:
+        self.hits.append(hit)
+        self.reach, self.voice = max(self.reach, hit["end"]), max(self.voice, hit, key=lambda h: h["confidence"] or 0)
+
+    def shows(self, hit: dict) -> bool:
+        """The texts agree and the descriptions don't contradict; without two texts the descriptions must agree."""
+        a, b = hit["target_description"] or "", self.voice["target_description"] or ""
+        if hit["ocr_text"] and self.voice["ocr_text"]:
+            return (not a or not b or _alike(a, b) >= SAME_DESCRIPTION) and reading_similarity(hit["ocr_text"], self.voice["ocr_text"]) >= SAME_TEXT
+        return _alike(a, b) >= ONLY_DESCRIPTION
+
+    def row(self) -> dict:
+        own = {"start": min(h["start"] for h in self.hits), "end": self.reach, "observations": len(self.hits)}
+        return self.hits[0] | {k: self.voice[k] for k in REPLACED if k in self.voice} | own
 
 
 def merged_rows(rows: list[dict]) -> list[dict]:
-    """Appearances in order of time; each joins the latest earlier one that it continues, else begins its own."""
-    out: list[dict] = []
-    for row in sorted(rows, key=lambda r: (r["start"], r["end"])):
-        home = None
-        for known in reversed(out):
-            if row["start"] > known["end"] + SLACK:
-                break
-            if _same_appearance(row, known):
-                home = known
-                break
-        if home is None:
-            out.append(row | {"observations": 1})
-            continue
-        better = (row["confidence"] or 0) > (home["confidence"] or 0)
-        home |= {"start": min(home["start"], row["start"]), "end": max(home["end"], row["end"]), "observations": home["observations"] + 1}
-        home |= {k: row[k] for k in REPLACED if k in row} if better else {}
-    return sorted(out, key=lambda r: r["start"])
+    """Appearances in order of time; a hit joins the latest one that it continues, as far back as they reach it."""
+    found: list[Appearance] = []
+    for hit in sorted(rows, key=lambda r: (r["start"], r["end"])):
+        near = takewhile(lambda a, s=hit["start"]: s <= a.reach + SLACK, reversed(found))
+        home = next((a for a in near if a.shows(hit)), None)
+        home.add(hit) if home else found.append(Appearance(hit))
+    return sorted((a.row() for a in found), key=lambda r: r["start"])
 
 
 def merge_appearances(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Scan hits of each recording with repeats from overlapping windows as one; observations counts them."""
+    """Scan hits of each recording with repeats from overlapping windows as one; observations counts them.
+
+    Hits that no others reach can't join them, so a recording is cut there first, and a task sees one such island."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", observations long"
     names = [*rows.columns, "observations"]
-    return rows.groupBy(*keys).applyInPandas(lambda g: pd.DataFrame(merged_rows(g.astype(object).where(g.notna(), None).to_dict("records")), columns=names), schema)
+    cut = islands(rows, keys, SLACK)
+    return cut.groupBy(*keys, "island").applyInPandas(lambda g: pd.DataFrame(merged_rows(g.drop(columns="island").astype(object).where(g.notna(), None).to_dict("records")), columns=names), schema)
+
+
+def leaders(texts: list[str], limit: float, confidences: list[float] | None = None) -> list[int]:
+    """For each text the place of the first earlier one whose group it joins, or its own. A group is known by its first text,
+    or, with confidences, by its most confident one so far."""
+    voice: dict[int, int] = {}
+    out = []
+    for i, text in enumerate(texts):
+        home = next((k for k, at in voice.items() if reading_similarity(text, texts[at]) >= limit), i)
+        if home == i or confidences and confidences[i] > confidences[voice[home]]:
+            voice[home] = i
+        out.append(home)
+    return out
 
 
 def consensus(readings: list[tuple[str | None, float]]) -> tuple[str, float]:
     """(text, confidence) on which the readings agree most: they gather about the most confident ones, the heaviest gathering
     gives its most confident (then longest) text and the mean of its three best confidences."""
-    known = sorted(((normalized_ocr(t), float(c)) for t, c in readings if normalized_ocr(t)), key=lambda r: -r[1])
-    groups: list[list[tuple[str, float]]] = []
-    for reading in known:
-        home = next((g for g in groups if reading_similarity(reading[0], g[0][0]) >= SAME_TEXT), None)
-        if home is None:
-            groups.append([reading])
-        else:
-            home.append(reading)
-    if not groups:
+    known = sorted(((t, float(c)) for t, c in ((normalized_ocr(t), c) for t, c in readings) if t), key=lambda r: -r[1])
+    if not known:
         return "", 0.0
-    best = max(groups, key=lambda g: sum(max(0.05, c) for _, c in g))
-    top = sorted((c for _, c in best), reverse=True)[:3]
-    return max(best, key=lambda r: (r[1], len(reading_key(r[0]))))[0], sum(top) / len(top)
+    weight: dict[int, float] = {}
+    home = leaders([t for t, _ in known], SAME_TEXT)
+    for k, (_, c) in zip(home, known, strict=True):
+        weight[k] = weight.get(k, 0.0) + max(0.05, c)
+    best = max(weight, key=weight.__getitem__)
+    own = [r for k, r in zip(home, known, strict=True) if k == best]  # most confident first
+    top = [c for _, c in own[:3]]
+    return max(own, key=lambda r: (r[1], len(reading_key(r[0]))))[0], sum(top) / len(top)
+
+
+def grouped_texts(rows: list[tuple[str | None, float]]) -> list[tuple[str, float, list[int]]]:
+    """(text, confidence, places) of texts that are nearly the same, each group by its most confident text, in their order."""
+    known = [(i, t, c) for i, (t, c) in enumerate((normalized_ocr(t), c) for t, c in rows) if t]
+    home = leaders([t for _, t, _ in known], SAME_ENTITY, [c for *_, c in known])
+    groups = [[r for k, r in zip(home, known, strict=True) if k == lead] for lead in dict.fromkeys(home)]
+    out = [(max(g, key=lambda r: r[2])[1], max(r[2] for r in g), [r[0] for r in g]) for g in groups]
+    return sorted(out, key=lambda g: g[0].casefold())
 
 
 def consensus_text(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,22 +162,6 @@ def consensus_text(readings: DataFrame, keys: list[str]) -> DataFrame:
     return weighed.groupBy(*keys).applyInPandas(run, schema)
 
 
-def grouped_texts(rows: list[tuple[str | None, float]]) -> list[tuple[str, float, list[int]]]:
-    """(text, confidence, places) of texts that are nearly the same: each joins the first group like it; a more confident one
-    gives the group its text."""
-    groups: list[list] = []
-    for place, (text, confidence) in enumerate(rows):
-        text = normalized_ocr(text)
-        if not text:
-            continue
-        home = next((g for g in groups if reading_similarity(text, g[0]) >= SAME_ENTITY), None)
-        if home is None:
-            groups.append([text, confidence, [place]])
-            continue
-        home[:] = [text if confidence > home[1] else home[0], max(home[1], confidence), [*home[2], place]]
-    return sorted(map(tuple, groups), key=lambda g: g[0].casefold())
-
-
 def text_entities(matches: DataFrame, keys: list[str], order: str) -> DataFrame:
     """keys, text, confidence, appearances (their order values) from matches (ocr_text, ocr_confidence) in the given order."""
     kind = matches.schema[order].dataType.simpleString()

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from spanlake.functions.intervals import overlap
 from spanlake.functions.text import tokenize
 from spanlake.functions.vectors import dot, mean_vectors, normalize, view_score
-from spanlake.operators.joins import overlap_join
+from spanlake.operators.joins import asof_join, overlap_join
+from spanlake.sources.scratch import materialize
 
 #: Fixed values of the ranking function: saturation, length share, floor of negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries are the small side of a search; up to so many are broadcast, more are searched in blocks.
 QUERY_BLOCK = 10_000
+#: Query words up to which they are sent to the documents' terms.
+BROADCAST_TERMS = 500_000
 
 
 def _top(rows: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
@@ -64,7 +67,11 @@ def pool_intervals(chunks: DataFrame, frames: DataFrame, cell: float = 60.0) ->
     empty = chunks.join(inside.select("video_id", "chunk_id").distinct(), ["video_id", "chunk_id"], "left_anti")
     times = frames.select("video_id", F.col("t").cast("double").alias("t")).distinct()
     middle = (F.col("start") + F.col("end")) / 2
-    nearest = empty.join(times, "video_id").groupBy("video_id", "chunk_id").agg(F.min_by("t", F.struct(F.abs(F.col("t") - middle), F.col("t"))).alias("t"))
+    # the frame before the middle and, with time reversed, the one after it
+    asked = empty.select("video_id", "chunk_id", middle.alias("m"), (-middle).alias("w"))
+    sides = asof_join(asof_join(asked, times.withColumn("t0", F.col("t")), ["video_id"], "m", "t", ["t0"]).drop("t"), times.select("video_id", (-F.col("t")).alias("r"), F.col("t").alias("t1")), ["video_id"], "w", "r", ["t1"])
+    earlier = F.col("t1").isNull() | (F.col("m") - F.col("t0") <= F.col("t1") - F.col("m"))
+    nearest = sides.select("video_id", "chunk_id", F.when(F.col("t0").isNotNull() & earlier, F.col("t0")).otherwise(F.col("t1")).alias("t")).where("t is not null")
     fallback = nearest.join(frames.select("video_id", F.col("t").cast("double").alias("t"), "view", "vec"), ["video_id", "t"]).select("video_id", "chunk_id", "view", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     return pooled.unionByName(fallback).withColumn("vec", normalize(F.col("vec")))
 
@@ -108,7 +115,7 @@ def hierarchical_search(
 ) -> DataFrame:
     """Beam search from coarse to fine: query_id, video_id, chunk_id, score, rank over chunks (video_id, scale, chunk_id, start,
     end, views or vec). A finer chunk's score is (1-context) x its own + context x its best parent's in the beam; parents are
-    those that hold its centre, or else those that overlap it, both padded. A scale where no chunk has a parent in the beam
+    those that it names (parent_ids, if there is such a column), else those that hold its centre, or else those that overlap it, both padded. A scale where no chunk has a parent in the beam
     is searched whole with no context. Queries are searched in blocks."""
     found = None
     for part in _query_blocks(queries, block):
@@ -128,20 +135,27 @@ def _beam_search(queries: DataFrame, chunks: DataFrame, k: int, scales: tuple[st
     by = ["query_id", "video_id"]
 
     def direct(scale: str) -> DataFrame:
-        return chunks.where(F.col("scale") == scale).crossJoin(queries).select(*by, "chunk_id", "start", "end", score.alias("direct"))
+        return chunks.where(F.col("scale") == scale).crossJoin(queries).select(*by, "chunk_id", "start", "end", score.alias("direct"), *(["parent_ids"] if explicit else []))
 
     def keep(rows: DataFrame, most: Column) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "chunk_id")
         return rows.join(total, "video_id").withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most).drop("total")
 
+    explicit = "parent_ids" in chunks.columns
     held = keep(direct(scales[0]).withColumn("score", F.col("direct")), beam)
     for scale in scales[1:]:
-        parents = held.select(*by, (F.col("start") - padding).alias("p_start"), (F.col("end") + padding).alias("p_end"), F.col("score").alias("p_score"))
+        held = materialize(held)
+        parents = held.select(*by, F.col("chunk_id").alias("p_id"), (F.col("start") - padding).alias("p_start"), (F.col("end") + padding).alias("p_end"), F.col("score").alias("p_score"))
         own = direct(scale)
         pairs = overlap_join(own, parents, by, 120.0, ("start", "end"), ("p_start", "p_end"))
+        named = F.lit(False)
+        if explicit:  # parents that a chunk names count wherever they lie
+            told = own.withColumn("p_id", F.explode("parent_ids")).join(parents, [*by, "p_id"]).withColumn("__told", F.lit(True))
+            pairs = pairs.withColumn("__told", F.lit(False)).unionByName(told)
+            named = F.col("__told")
         centre = (F.col("start") + F.col("end")) / 2
         holds = (F.col("p_start") <= centre) & (centre <= F.col("p_end"))
-        best = pairs.groupBy(*by, "chunk_id", "start", "end", "direct").agg(F.coalesce(F.max(F.when(holds, F.col("p_score"))), F.max("p_score")).alias("parent"))
+        best = pairs.groupBy(*by, "chunk_id", "start", "end", "direct").agg(F.coalesce(F.max(F.when(named, F.col("p_score"))), F.max(F.when(holds, F.col("p_score"))), F.max("p_score")).alias("parent"))
         blended = best.select(*by, "chunk_id", "start", "end", ((1 - context) * F.col("direct") + context * F.col("parent")).alias("score"))
         orphaned = own.join(best.select(*by).distinct(), by, "left_anti").select(*by, "chunk_id", "start", "end", ((1 - context) * F.col("direct")).alias("score"))
         held = keep(blended.unionByName(orphaned), F.greatest(wanted, beam))
@@ -165,11 +179,12 @@ def bm25_stats(tf: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> tuple[
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", tf: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query (query_id, query): query_id, doc_id, score, rank. A repeated query word counts as
     often; documents with no query word have score 0 and fill a short ranking, least ids first."""
-    tf = term_counts(docs, doc_id, text) if tf is None else tf
+    tf = materialize(term_counts(docs, doc_id, text)) if tf is None else tf
     idf, corpus = bm25_stats(tf, docs, doc_id)
     lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     words = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = words.join(idf, "term")
+    wanted = materialize(words.join(idf, "term"))
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
     met = tf.join(wanted, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
@@ -194,6 +209,11 @@ def transcript_windows(words: DataFrame, videos: DataFrame, window: float = 30.0
     return full.select("video_id", F.format_string("transcript_%06d", "idx").alias("chunk_id"), "start", "end", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def spoken(windows: DataFrame) -> DataFrame:
+    """Transcript windows with any text; the others are not indexed, and numbers stay as they were."""
+    return windows.where(F.trim("text") != "")
+
+
 def speech_between(intervals: DataFrame, segments: DataFrame, cell: float = 30.0) -> DataFrame:
     """intervals (video_id, interval_id, start, end) with the speech in them, times from the interval's start and clipped."""
     said = segments.select("video_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.trim("text").alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def score_rows(labels: DataFrame, matches: DataFrame, hit: float = 0.3, better:
     return out.withColumn("correct", F.when(text, F.col("text_exact")).otherwise(F.col("hit_03")))
 
 
-def summarize(scored: DataFrame) -> DataFrame:
-    """One row: how many, accuracy, mean seconds, and over the rows they apply to mean overlap, recalls and exact texts."""
+def summarize(scored: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of the columns named: how many, accuracy, mean seconds, and over the rows they apply to mean overlap, recalls and exact texts."""
     span = F.col("true_text").isNull()
     share = lambda c, of=None: F.round(F.avg(F.when(of if of is not None else F.lit(True), F.col(c).cast("double"))), 3)
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         F.count("*").alias("count"), F.count_if("correct").alias("correct"), share("correct").alias("accuracy"), F.round(F.avg("seconds"), 1).alias("mean_seconds"),
         share("best_iou", span).alias("mean_iou"), share("hit_03", span).alias("recall_03"), share("hit_05", span).alias("recall_05"), share("text_exact", ~span).alias("text_exact"),
     )
@@ -54,4 +56,11 @@ def resolve_videos(labels: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("video_id", "scale").agg(F.count("*").alias("n_chunks"))
+    """Chunks and the last chunk's end of each video and scale."""
+    return chunks.groupBy("video_id", "scale").agg(F.count("*").alias("n_chunks"), F.max("end").alias("last"))
+
+
+def funnel(stages: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """keys and, by stage, how many rows of it each query has in each recording."""
+    counted = [rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("stage", F.lit(name)) for name, rows in stages.items()]
+    return reduce(DataFrame.unionByName, counted).groupBy(*keys).pivot("stage", list(stages)).agg(F.first("n")).na.fill(0)

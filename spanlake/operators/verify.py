@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from spanlake.operators.evidence import KEYS
 from spanlake.operators.folds import deduplicate
 from spanlake.operators.windows import boundary_probes, verifier_windows
+from spanlake.sources.scratch import materialize
 
 
 class ModelBackend(Protocol):
@@ -30,36 +33,68 @@ TASKS = {"document": "search_document: ", "query": "search_query: "}
 INSTANCES = "array<struct<start_seconds:double,end_seconds:double,confidence:double,description:string,actor_description:string,visual_evidence:string>>"
 
 
-def with_retries(call: Callable, attempts: int = 3):
-    """call's result; after the last failed attempt its error."""
+def with_retries(call: Callable, attempts: int = 3, pause: float = 0.0):
+    """call's result; after the last failed attempt its error. Pauses grow twofold."""
     for n in range(attempts):
         try:
             return call()
         except Exception:
             if n + 1 == attempts:
                 raise
+            time.sleep(pause * 2**n)
 
 
-def embed_texts(rows: DataFrame, backend: ModelBackend, text: str = "text", task: str = "document", into: str = "vec") -> DataFrame:
-    """rows with a unit vector each; long texts are embedded in pieces of 40 words and averaged."""
+def answered(call: Callable[[pd.DataFrame], pd.DataFrame | pd.Series], rows: pd.DataFrame, attempts: int = 3, pause: float = 0.5) -> tuple[pd.DataFrame, list]:
+    """The rows that the model answers and its answers: a batch that fails is asked row by row, and a row that still fails goes."""
+    try:
+        return rows, [with_retries(lambda: call(rows), attempts, pause)]
+    except Exception:
+        kept, said = [], []
+        for i in range(len(rows)):
+            one = rows.iloc[i : i + 1]
+            try:
+                said.append(with_retries(lambda one=one: call(one), attempts, pause))
+                kept.append(one)
+            except Exception:
+                logging.getLogger(__name__).warning("a row was left out: the model gave no answer", exc_info=True)
+        return pd.concat(kept) if kept else rows.iloc[:0], said
+
+
+def _unit(x) -> list[float]:
+    import numpy as np
+
+    n = np.linalg.norm(x)
+    return (x / n if n > 0 else x).tolist()
+
+
+def _embedded(rows: DataFrame, text: str, into: str, run: Callable[[list[str]], list]) -> DataFrame:
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{into}` array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            yield b.assign(**{into: run([t or "" for t in b[text]])})
 
-        for b in batches:
-            words = [(t or "").split() for t in b[text]]
-            pieces = [[TASKS[task] + " ".join(w[i : i + 40]) for i in range(0, max(1, len(w)), 40)] for w in words]
-            vectors = list(with_retries(lambda p=pieces: backend.embed_text(pd.Series([x for each in p for x in each]), task)))
-            out, at = [], 0
-            for each in pieces:
-                mean = np.mean(np.asarray(vectors[at : at + len(each)], float), axis=0)
-                n = np.linalg.norm(mean)
-                out.append((mean / n if n > 0 else mean).tolist())
-                at += len(each)
-            yield b.assign(**{into: out})
+    return rows.mapInPandas(batches, schema)
+
+
+def embed_texts(rows: DataFrame, backend: ModelBackend, text: str = "text", task: str = "document", into: str = "vec") -> DataFrame:
+    """rows with a unit vector each, of the whole text with its task's prefix."""
+    import numpy as np
+
+    return _embedded(rows, text, into, lambda texts: [_unit(np.asarray(v, float)) for v in with_retries(lambda: backend.embed_text(pd.Series([TASKS[task] + t for t in texts]), task))])
+
+
+def embed_visual_texts(rows: DataFrame, backend: ModelBackend, text: str = "text", into: str = "vec", words: int = 40) -> DataFrame:
+    """rows with a unit vector each for the space of frames: texts without prefix, long ones in pieces of so many words, averaged."""
+    import numpy as np
+
+    def run(texts: list[str]) -> list:
+        split = [t.split() for t in texts]
+        pieces = [[" ".join(w[i : i + words]) for i in range(0, max(1, len(w)), words)] for w in split]
+        vectors = iter(with_retries(lambda: backend.embed_text(pd.Series([x for each in pieces for x in each]), "visual")))
+        return [_unit(np.mean([np.asarray(next(vectors), float) for _ in each], axis=0)) for each in pieces]
 
-    return rows.mapInPandas(run, schema)
+    return _embedded(rows, text, into, run)
 
 
 def verify_candidates(candidates: DataFrame, backend: ModelBackend, keys: list[str] = KEYS, window: float = 25.0, overlap: float = 5.0, floor: float = 0.10) -> DataFrame:
@@ -70,9 +105,11 @@ def verify_candidates(candidates: DataFrame, backend: ModelBackend, keys: list[s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(found=with_retries(lambda b=b: backend.verify(b)).values)
+            kept, said = answered(backend.verify, b)
+            yield kept.assign(found=[x for part in said for x in part])
 
-    each = shown.mapInPandas(run, schema).withColumn("i", F.explode("found"))
+    # answers are written: what uses them several times, or again after a lost executor, does not ask the model again
+    each = materialize(shown.mapInPandas(run, schema)).withColumn("i", F.explode("found"))
     hits = each.where(F.col("i.confidence") >= floor).select(
         *keys, "candidate_id", F.greatest(F.lit(0.0), F.col("start") + F.col("i.start_seconds")).alias("start"), F.least("duration", F.col("start") + F.col("i.end_seconds")).alias("end"),
         "i.confidence", "i.description", "i.actor_description", "i.visual_evidence",
@@ -89,10 +126,11 @@ def confirm_instances(instances: DataFrame, backend: ModelBackend, keys: list[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = with_retries(lambda b=b: backend.confirm(b)).reset_index(drop=True)
+            b, said = answered(backend.confirm, b)
+            got = pd.concat(said, ignore_index=True) if said else pd.DataFrame(columns=["valid", "confidence", "start_seconds", "end_seconds"])
             yield pd.concat([b.reset_index(drop=True), got.rename(columns={"confidence": "pro_confidence"})[["valid", "pro_confidence", "start_seconds", "end_seconds"]]], axis=1)
 
-    said = shown.mapInPandas(run, schema).where(F.col("valid") & (F.col("pro_confidence") >= floor) & (F.col("start_seconds") >= 0) & (F.col("end_seconds") > F.col("start_seconds")))
+    said = materialize(shown.mapInPandas(run, schema)).where(F.col("valid") & (F.col("pro_confidence") >= floor) & (F.col("start_seconds") >= 0) & (F.col("end_seconds") > F.col("start_seconds")))
     at = lambda c: F.col("window_start") + F.col(c)
     kept = said.withColumns({"start": F.greatest(F.lit(0.0), at("start_seconds")), "end": F.least("duration", at("end_seconds")), "confidence": F.col("pro_confidence")}).where("end > start")
     return deduplicate(kept.select(*[c for c in instances.columns]).withColumn("pro_verified", F.lit(True)), keys, limit)
@@ -117,10 +155,11 @@ def refine_boundaries(instances: DataFrame, backend: ModelBackend, row_id: str,
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                got = with_retries(lambda b=b: backend.boundary(b)).reset_index(drop=True)
+                b, said = answered(backend.boundary, b)
+                got = pd.concat(said, ignore_index=True) if said else pd.DataFrame(columns=["contains_boundary", "confidence", "boundary_seconds"])
                 yield pd.concat([b.reset_index(drop=True), got[["contains_boundary", "confidence", "boundary_seconds"]]], axis=1)
 
-        chosen = pick_boundary(probes.mapInPandas(run, schema), [row_id, "side"])
+        chosen = pick_boundary(materialize(probes.mapInPandas(run, schema)), [row_id, "side"])
         state = state.join(chosen, [row_id, "side"], "left").withColumn("estimate", F.coalesce("new_estimate", "estimate")).drop("new_estimate")
     moved = state.groupBy(row_id).agg(F.max(F.when(F.col("side") == "start", F.col("estimate"))).alias("__s"), F.max(F.when(F.col("side") == "end", F.col("estimate"))).alias("__e"))
     good = F.col("__e") > F.col("__s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake import binding as b
@@ -15,7 +15,7 @@ from spanlake.operators import folds, ocr, refine, retrieval, scoring, windows
 from spanlake.operators.joins import asof_join
 from spanlake.plans import specs
 from spanlake.sources.scratch import materialize
-from spanlake.sources.tables import pending
+from spanlake.sources.tables import number_matches, pending
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -242,11 +242,11 @@ def predicate_peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PEAKS}, ru AS (SELECT * FROM (VALUES ('p0', 'p1'), ('p2', 'p3'), ('p1', 'p9')) AS t(a, z)), sc AS (SELECT x.video_id, x.candidate_id, count(*) FILTER (x.peak <= y.peak) AS sat, count(*) FILTER (x.peak > y.peak) AS vio
  FROM pk x JOIN ru ON x.predicate_id = a JOIN pk y ON y.video_id = x.video_id AND y.candidate_id = x.candidate_id AND y.predicate_id = z GROUP BY ALL)
- SELECT video_id, round(s, 9) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)) + 3e-11::DOUBLE, 9) AS score, coalesce(sat, 0) AS ordering_satisfied, coalesce(vio, 0) AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
+ SELECT video_id, round(s, 9) AS start, round(score * pow(1.15::DOUBLE, coalesce(sat, 0)) * pow(0.75::DOUBLE, coalesce(vio, 0)), 7) AS score, coalesce(sat, 0) AS ordering_satisfied, coalesce(vio, 0) AS ordering_violated FROM cand LEFT JOIN sc USING (video_id, candidate_id)""")
 def ordering_rerank(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("p0", "p1"), ("p2", "p3"), ("p1", "p9")], "first string, then string").join(b.videos(spark, sf).select("video_id"))
     out = cd.apply_ordering(materialize(_regions(spark, sf)), b.hits(spark, sf), rules, KEYS, KEYS)
-    return _rounded(out.na.fill(0, ["ordering_satisfied", "ordering_violated"]).select("video_id", "start", F.round(F.col("score") + 3e-11, 9).alias("score"), "ordering_satisfied", "ordering_violated"))
+    return _rounded(out.na.fill(0, ["ordering_satisfied", "ordering_violated"]).select("video_id", "start", F.round("score", 7).alias("score"), "ordering_satisfied", "ordering_violated"))
 
 
 @query()
@@ -274,7 +274,7 @@ def dedupe_instances(spark: SparkSession, sf: str) -> DataFrame:
     return folds.deduplicate(b.detections(spark, sf), KEYS).select("video_id", "event_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 5) q),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 50""")
 def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     items = b.read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
@@ -284,7 +284,7 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
 VIEWS = "v AS (SELECT vec_id, unnest(generate_series(0, 3)) AS view, embedding::DOUBLE[] AS x FROM embeddings)"
 
 
-@query(f"""WITH {VIEWS}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, max(list_dot_product(v.x[view * 16 + 1:view * 16 + 16], q.embedding[1:16]::DOUBLE[])) AS score FROM v, (SELECT * FROM embeddings WHERE vec_id < 5) q GROUP BY ALL),
+@query(f"""WITH {VIEWS}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, max(list_dot_product(v.x[view * 16 + 1:view * 16 + 16], q.embedding[1:16]::DOUBLE[])) AS score FROM v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q GROUP BY ALL),
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank < 20""")
 def view_max(spark: SparkSession, sf: str) -> DataFrame:
     views = F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)])
@@ -316,19 +316,19 @@ _LEVEL = """, {b}0 AS (SELECT d.query_id, d.chunk_id, d.s, d.e, 0.7::DOUBLE * an
  {b}_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM {b}0) WHERE rank < 24)"""
 
 
-@query(f"""WITH {POOLED}, qv AS (SELECT vec_id AS query_id, unnest(generate_series(1, 64)) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id < 5), di AS (SELECT query_id, scale, chunk_id, s, e, sum(x * y) AS direct FROM po JOIN qv USING (d) GROUP BY ALL),
+@query(f"""WITH {POOLED}, qv AS (SELECT vec_id AS query_id, unnest(generate_series(1, 64)) AS d, unnest(embedding)::DOUBLE AS y FROM embeddings WHERE vec_id % 100 = 0), di AS (SELECT query_id, scale, chunk_id, s, e, sum(x * y) AS direct FROM po JOIN qv USING (d) GROUP BY ALL),
  coarse_ AS (SELECT query_id, chunk_id, s, e, direct AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(direct, 9) DESC, chunk_id) - 1 AS rank FROM di WHERE scale = 'coarse') WHERE rank < 24)
  {_LEVEL.format(a="coarse_", b="medium")}{_LEVEL.format(a="medium_", b="fine")} SELECT query_id, chunk_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fine_ WHERE rank < 5""")
 def hierarchical_search(spark: SparkSession, sf: str) -> DataFrame:
     chunks = windows.multiscale_chunks(b.recording(spark, sf))
     vectors = retrieval.pool_intervals(chunks, b.frames(spark, sf)).select("video_id", "chunk_id", "vec")
-    found = retrieval.hierarchical_search(b.vector_queries(spark, sf), chunks.join(vectors, ["video_id", "chunk_id"]), 5)
+    found = retrieval.hierarchical_search(b.vector_queries(spark, sf), materialize(chunks.join(vectors, ["video_id", "chunk_id"])), 5)
     return _rounded(found.select("query_id", "chunk_id", "score", "rank"))
 
 
-TOKENS = r"tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL)"
-IDF = TOKENS + """, nd AS (SELECT count(*) AS n FROM documents), al AS (SELECT sum(tf) / (SELECT n FROM nd)::DOUBLE AS avgdl FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
- ra AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, nd), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM ra) ELSE raw END AS idf FROM ra)"""
+TOKENS = r"tk AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL)"
+IDF = TOKENS + """, nd AS (SELECT count(*) AS n FROM documents), al AS (SELECT sum(tf) / (SELECT n FROM nd)::DOUBLE AS avgdl FROM tf), df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+ ra AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, nd), me AS MATERIALIZED (SELECT avg(raw) AS mean FROM ra), idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM ra, me)"""
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, sum(tf)::BIGINT AS n_tokens, count(*) AS n_terms FROM tf GROUP BY doc_id")
@@ -361,7 +361,7 @@ def transcript_windows(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.transcript_windows(words.drop("turn"), words.groupBy("video_id").agg(F.count("*").cast("double").alias("duration")))
 
 
-@query(f"""WITH {WORDS}, sg AS (SELECT conv_id, turn, min(s)::DOUBLE AS s, max(s) + 1::DOUBLE AS e FROM wo GROUP BY ALL), iv AS (SELECT conv_id, unnest(generate_series(0, 9)) AS interval_id FROM (SELECT DISTINCT conv_id FROM sg))
+@query(f"""WITH {WORDS}, sg AS (SELECT conv_id, turn, min(s)::DOUBLE AS s, max(s) + 1::DOUBLE AS e FROM wo GROUP BY ALL), iv AS (SELECT conv_id, unnest(generate_series(0, CAST(ceil(max(e) / 40) AS BIGINT) - 1)) AS interval_id FROM sg GROUP BY conv_id)
  SELECT sg.conv_id AS video_id, CAST(interval_id AS INTEGER) AS interval_id, turn, greatest(s, interval_id * 40) - interval_id * 40::DOUBLE AS from_second, least(e, interval_id * 40 + 25) - interval_id * 40::DOUBLE AS to_second FROM sg JOIN iv ON sg.conv_id = iv.conv_id AND s < interval_id * 40 + 25 AND e > interval_id * 40""")
 def speech_overlap(spark: SparkSession, sf: str) -> DataFrame:
     segments = b.words(spark, sf).groupBy("video_id", "turn").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("text", F.col("turn").cast("string"))
@@ -377,7 +377,7 @@ def asof_bin(spark: SparkSession, sf: str) -> DataFrame:
     return asof_join(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), views, ["user_id"], "ts", "view_ts", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
 
 
-@query(r"""SELECT doc_id, 'Summary: ' || substr(text, 1, 40) || chr(10) || 'Scene: ' || source || chr(10) || 'People: ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:3], '; ') || chr(10) || 'Search terms: ' || lang || '; ' || source AS search_text FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) > 0""")
+@query(r"""SELECT doc_id, 'Summary: ' || text || chr(10) || 'Scene: ' || source || chr(10) || 'People: ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), '; ') || chr(10) || 'Search terms: ' || lang || '; ' || source AS search_text FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) > 0""")
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     tokens = tx.tokenize(F.col("text"))
     none = F.array().cast("array<string>")
@@ -403,7 +403,8 @@ def iou_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT source, count(*) AS count, count(*) FILTER (quality = 1) AS correct, round(avg(quality::DOUBLE), 3) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.read(spark, sf, "labels").join(b.read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("count"), F.count_if(F.col("quality") == 1).alias("correct"), F.round(F.avg(F.col("quality").cast("double")), 3).alias("accuracy"))
+    none = {"true_text": F.lit(None).cast("string"), "seconds": F.lit(0.0), "best_iou": F.lit(0.0), "hit_03": F.lit(False), "hit_05": F.lit(False), "text_exact": F.lit(False)}
+    return scoring.summarize(rows.withColumn("correct", F.col("quality") == 1).withColumns(none), "source").select("source", "count", "correct", "accuracy")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -411,10 +412,10 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return pending(b.read(spark, sf, "documents").select("doc_id"), b.read(spark, sf, "labels"), ["doc_id"])
 
 
-@query(r"""WITH s AS (SELECT source, doc_id AS position, trim(coalesce(regexp_extract(text, '^\S+', 0), '')) AS q, (doc_id % 7) / 7::DOUBLE AS importance FROM documents), f AS (SELECT * FROM s WHERE q <> ''), r AS (SELECT *, min(position) OVER (PARTITION BY source, lower(q)) AS p, row_number() OVER (PARTITION BY source, lower(q) ORDER BY importance DESC, position) AS rn FROM f)
+@query(r"""WITH s AS (SELECT source, doc_id AS position, trim(coalesce(text, '')) AS q, (doc_id % 7) / 7::DOUBLE AS importance FROM documents), f AS (SELECT * FROM s WHERE q <> ''), r AS (SELECT *, min(position) OVER (PARTITION BY source, lower(q)) AS p, row_number() OVER (PARTITION BY source, lower(q) ORDER BY importance DESC, position) AS rn FROM f)
  SELECT source, p AS position, q AS query, round(importance, 9) AS importance FROM r WHERE rn = 1""")
 def spec_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.read(spark, sf, "documents").select("source", F.col("doc_id").alias("position"), F.regexp_extract("text", r"^\S+", 0).alias("query"), (F.col("doc_id") % 7 / 7).alias("importance"))
+    rows = b.read(spark, sf, "documents").select("source", F.col("doc_id").alias("position"), F.col("text").alias("query"), (F.col("doc_id") % 7 / 7).alias("importance"))
     return _rounded(specs.dedupe_specs(rows.where("query is not null"), ["source"]).select("source", "position", "query", "importance"))
 
 
@@ -435,9 +436,7 @@ def ordering_rule_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {DETECTED}, n AS (SELECT *, s * 10 AS s10, row_number() OVER (PARTITION BY video_id ORDER BY s, e, event_id) - 1 AS match_id FROM dt) SELECT video_id, event_id, match_id, CASE WHEN s10 >= 3600 THEN printf('%02d:', CAST(floor(s10 / 3600) AS INTEGER)) ELSE '' END || printf('%02d:%02d', CAST(floor(s10 % 3600 / 60) AS INTEGER), CAST(floor(s10 % 60) AS INTEGER)) AS shown FROM n""")
 def match_format(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("start", "end", "event_id")
-    rows = b.detections(spark, sf).withColumn("match_id", (F.row_number().over(w) - 1).cast("long"))
-    return rows.select("video_id", "event_id", "match_id", iv.format_timestamp(F.col("start") * 10).alias("shown"))
+    return number_matches(b.detections(spark, sf), KEYS, "event_id").select("video_id", "event_id", "match_id", iv.format_timestamp(F.col("start") * 10).alias("shown"))
 
 
 @query("SELECT item_id, substr(sha1(text), 1, 10) AS query_folder FROM benchmark")
@@ -459,7 +458,7 @@ def best_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT scale, count(*) AS n_chunks, max(e) AS last FROM (SELECT * FROM (WITH " + CHUNKS + " SELECT * FROM ch)) GROUP BY scale")
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.multiscale_chunks(b.recording(spark, sf)).groupBy("scale").agg(F.count("*").alias("n_chunks"), F.max("end").alias("last"))
+    return scoring.index_stats(windows.multiscale_chunks(b.recording(spark, sf))).select("scale", "n_chunks", "last")
 
 
 def _readings(spark: SparkSession, sf: str) -> DataFrame:

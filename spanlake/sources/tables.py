@@ -12,7 +12,7 @@ from spanlake.functions.intervals import format_timestamp_precise, query_folder
 
 #: Version of the index layout; extensions of files that are taken in.
 INDEX_VERSION = 6
-EXTENSIONS = ("mp4", "mov", "mkv", "webm", "avi", "m4v", "mpg", "mpeg", "ts", "wmv", "flv", "3gp")
+EXTENSIONS = ("mp4", "m4v", "mov", "mkv", "webm", "avi")
 
 
 class IndexVersionMismatch(RuntimeError):
@@ -132,9 +132,9 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("created_at"))
 
 
-def number_matches(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Detections in order of time, numbered from 0, with written times."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+def number_matches(detections: DataFrame, keys: list[str], *ties: str) -> DataFrame:
+    """Detections in order of time (and of the columns in ties), numbered from 0, with written times."""
+    w = Window.partitionBy(*keys).orderBy("start", "end", *ties)
     named = detections.withColumn("match_id", (F.row_number().over(w) - 1).cast("long"))
     return named.withColumns({"start_timestamp": format_timestamp_precise(F.col("start")), "end_timestamp": format_timestamp_precise(F.col("end"))})
 
@@ -146,7 +146,7 @@ def write_matches(matches: DataFrame, path: str, query: str = "query") -> None:
 
 def publish(matches: DataFrame) -> DataFrame:
     """Without what only the server may see: paths become addresses, inner fields go."""
-    urls = {c: f"{c[: -len('_path')]}_url" for c in matches.columns if c.endswith("_path")}
+    urls = {c: "url" if c == "path" else f"{c[: -len('_path')]}_url" for c in matches.columns if c == "path" or c.endswith("_path")}
     out = matches.drop("results_file", "initial_candidates", "top_evidence_bins")
     for old, new in urls.items():
         relative = ~F.col(old).startswith("/") & ~F.col(old).contains("..")

@@ -1,7 +1,9 @@
 import datetime as dt
+import sys
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from spanlake.operators import scoring, verify
@@ -46,6 +48,9 @@ def test_recovery(spark):
     assert got == {"a": "ready", "b": "interrupted", "c": "ready"}
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this module
+
+
 class Fake:
     """A model that sees an event at second 33."""
 
