@@ -57,8 +57,13 @@ def cells_of(text: bytes) -> dict[int, bytes]:
 def digests(text: bytes):
     """Sorted distinct 64-bit digests of the paragraphs and pieces."""
     import numpy as np
+    import xxhash
 
-    return np.unique(np.fromiter(cells_of(text), np.uint64))
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    pieces = _PIECE.findall(b"\n".join(lines))
+    small = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)) & ~np.uint64(PARAGRAPH)
+    large = np.fromiter((xxhash.xxh64_intdigest(line, 1) for line in lines), np.uint64, len(lines)) | np.uint64(PARAGRAPH)
+    return np.unique(np.concatenate([small, large]))
 
 
 def _mix(x, seed: int):
