@@ -12,7 +12,7 @@ give the normaliser of every pair of classes; scoring a token is four look-ups.
 chance (c+1) / (N_class + V_class + 1) in its class, so that log-probabilities are normalised over all known words and
 one unknown word a class.
 
-Training. A pilot on the driver gives the start, from about PILOT tokens drawn one by one by a hash of their text (a bounded
+Training. A pilot on the driver gives the start, from about PILOT tokens, an eighth of those of texts drawn by hash (a bounded
 sample, however long a text is); then every task runs noise-contrastive updates over all training tokens of its split, and
 the parameters are averaged in a tree of FAN at a time, weighted by tokens. All training rows take part at every size. As in
 any parameter averaging, the result depends on how the files are split, but not on when tasks run or rerun.
@@ -267,6 +267,7 @@ def train(rows: DataFrame, vocabulary) -> list:
 
     v = vocabulary.value
     rate = min(1.0, PILOT / max(1, v.n))
+    share = min(1.0, 8 * rate)  # of the texts; of their tokens then rate / share
 
     def draw(batches) -> Iterator:
         import pyarrow as pa
@@ -276,11 +277,12 @@ def train(rows: DataFrame, vocabulary) -> list:
             found = [np.empty(0, np.int64)]
             for text in b.column(0).to_pylist():
                 codes = trigrams(_classes(index.of(_words(text)), index.v))
-                found.append(codes[np.random.default_rng(xxhash.xxh32_intdigest(text or b"")).random(len(codes)) < rate])
+                found.append(codes[np.random.default_rng(xxhash.xxh32_intdigest(text or b"")).random(len(codes)) < rate / share])
             codes, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
 
-    drawn = rows.select("text").mapInArrow(draw, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    u = F.xxhash64("text", F.lit("pilot")).cast("double") / F.lit(2.0**64) + 0.5
+    drawn = rows.where(u < share).select("text").mapInArrow(draw, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(drawn.column("code").to_numpy())
     codes, counts = (drawn.column(c).to_numpy()[order] for c in ("code", "n"))
     pilot = Model(v.noise)
