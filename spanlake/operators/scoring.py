@@ -47,12 +47,14 @@ def compare_runs(current: DataFrame, earlier: DataFrame, metric: str = "best_iou
 
 
 def resolve_videos(labels: DataFrame, library: DataFrame) -> DataFrame:
-    """labels (id, video) with the library's video_id, found by id or by name; an id counts first."""
+    """labels (id, video) with the library's video_id, found by id or by name; an id counts first. A video that the library
+    lacks is an error once its row is read."""
     by_id = library.select(F.col("video_id").alias("__id"))
     w = Window.partitionBy("name").orderBy("video_id")
     by_name = library.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("name", F.col("video_id").alias("__named"))
     joined = labels.join(by_id, F.col("video") == F.col("__id"), "left").join(by_name, F.col("video") == F.col("name"), "left")
-    return joined.withColumn("video_id", F.coalesce("__id", "__named")).drop("__id", "__named", "name")
+    lost = F.raise_error(F.concat(F.lit("the library has no video "), F.coalesce("video", F.lit("(null)"))))
+    return joined.withColumn("video_id", F.coalesce("__id", "__named", lost)).drop("__id", "__named", "name")
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:

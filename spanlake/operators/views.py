@@ -30,6 +30,13 @@ def missing_models(required: Column, installed: Column) -> Column:
     return F.array_except(full(required), full(installed))
 
 
+def scene_records(scenes: DataFrame, events: str = "important_events") -> DataFrame:
+    """scenes (chunk_id, scale, start, end and a described scene's fields) with the events' seconds, which count from the
+    chunk's start, as seconds of the recording. Null events stay null."""
+    moved = F.transform(events, lambda e: e.withField("start_seconds", F.col("start") + e["start_seconds"]).withField("end_seconds", F.col("start") + e["end_seconds"]))
+    return scenes.withColumn(events, moved)
+
+
 def search_history(searches: DataFrame) -> DataFrame:
     """Searches newest first with the numbers that a list of them shows."""
     return searches.select("id", "video_id", "created_at", "status", "query", "mode", F.size("matches").alias("n_matches")).orderBy(F.desc("created_at"))

@@ -119,6 +119,14 @@ def frame_times(rows: DataFrame, fps: float = 4.0, most: int | None = None) -> D
     return out.withColumn("frame_index", F.bround(F.col("time") * F.coalesce(F.col("source_fps"), F.lit(30.0)), 0).cast("long"))
 
 
+def candidate_times(rows: DataFrame, fps: float = 1.0) -> DataFrame:
+    """rows (start, end) x times from the start on at every 1/fps seconds, the end left out; an empty interval has none."""
+    _positive(fps=fps)
+    n = F.ceil((F.col("end") - F.col("start")) * fps).cast("long")
+    places = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("time", F.explode(F.transform(places, lambda k: F.col("start") + k / F.lit(fps))))
+
+
 def sample_times(rows: DataFrame, limit: int) -> DataFrame:
     """rows (start, end) x midpoints of equal parts, four a second, at most so many."""
     length = F.col("end") - F.col("start")

@@ -9,6 +9,9 @@ from spanlake.operators import retrieval
 from spanlake.operators.windows import SCALES, multiscale_chunks
 from spanlake.sources.tables import load_index, write_index
 
+#: Names that stand for all scales.
+HIERARCHICAL = ("hierarchical", "multiscale", "multi", "all")
+
 
 def embed_scale(chunks: DataFrame, frames: DataFrame) -> DataFrame:
     """chunks with `views`, one unit vector a view in the order of the views (frames: video_id, t, view, vec)."""
@@ -22,10 +25,21 @@ def build_index(videos: DataFrame, frames: DataFrame, folder: str, signature: st
     write_index({"chunks": embed_scale(chunks, frames), "links": retrieval.chunk_links(chunks, tuple(scales))}, folder, signature)
 
 
+def saved_scales(spark: SparkSession, folder: str) -> list[str]:
+    """Scales of which a finished index has chunks, from coarse to fine."""
+    return [r["scale"] for r in retrieval.scale_order(load_index(spark, folder)["chunks"]).orderBy("level").collect()]
+
+
 def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int, scale: str | None = None, signature: str | None = None) -> DataFrame:
-    """The k best chunks of each query (query_id, qvec): of one scale by exact comparison, or by beam search over all scales."""
+    """The k best chunks of each query (query_id, qvec): of one scale by exact comparison, or by beam search over all scales
+    if the scale is one of HIERARCHICAL or None. Adds retrieval_mode, retrieval_output_scale and retrieval_scale_order."""
     chunks = load_index(spark, folder, signature)["chunks"]
-    if scale is None:
-        order = [r["scale"] for r in retrieval.scale_order(chunks).orderBy("level").collect()]
-        return retrieval.hierarchical_search(queries, chunks, k, tuple(order))
-    return retrieval.knn_views(queries, chunks.where(F.col("scale") == scale), k)
+    order = saved_scales(spark, folder)
+    if scale is None or scale in HIERARCHICAL:
+        found, mode, output = retrieval.hierarchical_search(queries, chunks, k, tuple(order)), "hierarchical", order[-1]
+    elif scale in order:
+        found, mode, output = retrieval.knn_views(queries, chunks.where(F.col("scale") == scale), k).where(F.col("rank") < k), "single_scale", scale
+        order = [scale]
+    else:
+        raise ValueError(f"{folder} has no scale {scale}, only {', '.join(order)}")
+    return found.withColumns({"retrieval_mode": F.lit(mode), "retrieval_output_scale": F.lit(output), "retrieval_scale_order": F.array(*map(F.lit, order))})

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.intervals import format_timestamp_precise, query_folder
+from spanlake.sources.scratch import materialize
 
 #: Version of the index layout; extensions of files that are taken in.
 INDEX_VERSION = 6
@@ -64,7 +65,7 @@ def append_resumable(rows: DataFrame, path: str, key: list[str], work: Callable[
     todo = pending(rows, read_jsonl(spark, path, key_schema), key) if there else rows
     if most is not None:
         todo = todo.orderBy(*key).limit(most)
-    results = work(todo).persist()
+    results = materialize(work(todo))
     results.where("error is null").drop("error").write.mode("append").json(path)
     return results.where("error is not null")
 
@@ -94,6 +95,11 @@ def index_key(rows: DataFrame, settings: str = "settings", size: str = "size", m
     return rows.withColumn("index_key", F.substring(F.sha2(F.concat_ws("|", settings, size, modified), 256), 1, 16))
 
 
+def file_key(path: Column, size: Column, modified: Column, *settings: Column) -> Column:
+    """24 hex digits for what was made of a file: they change with its path, size, time and the settings."""
+    return F.substring(F.sha2(F.concat_ws("|", path, size.cast("string"), modified.cast("string"), *[s.cast("string") for s in settings]), 256), 1, 24)
+
+
 def ingest(files: DataFrame, library: DataFrame | None = None) -> DataFrame:
     """Library records of files (path, content, duration, has_video): named by their content, so the same bytes are one
     record whatever the name; other extensions and files without a picture or length are left out."""
