@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable, Iterator
@@ -10,10 +11,12 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from spanlake.operators.evidence import KEYS
 from spanlake.operators.folds import deduplicate
 from spanlake.operators.windows import boundary_probes, verifier_windows
+from spanlake.schema import fits
 from spanlake.sources.scratch import materialize
 
 
@@ -26,6 +29,11 @@ class ModelBackend(Protocol):
     def verify(self, rows: pd.DataFrame) -> pd.Series: ...  # lists of instances, seconds from the window's start
     def confirm(self, rows: pd.DataFrame) -> pd.DataFrame: ...  # valid, confidence, start_seconds, end_seconds
     def boundary(self, rows: pd.DataFrame) -> pd.DataFrame: ...  # contains_boundary, confidence, boundary_seconds
+    def scan(self, rows: pd.DataFrame) -> pd.Series: ...  # JSON of schema.OCR_SCAN, seconds from the window's start
+    def read_frames(self, rows: pd.DataFrame) -> pd.Series: ...  # JSON of schema.OCR_FRAME, one reading for each time in `times`
+    def read_crops(self, rows: pd.DataFrame) -> pd.Series: ...  # JSON of schema.OCR_CROP, one reading for each box in `crops`
+    def sharpness(self, rows: pd.DataFrame) -> pd.Series: ...  # of the crop `bbox` at `timestamp`
+    def transcribe(self, rows: pd.DataFrame) -> pd.Series: ...  # JSON of schema.SPEECH; no words for a file without sound
 
 
 #: Prefixes that a text embedder takes for its two tasks.
@@ -60,6 +68,47 @@ def answered(call: Callable[[pd.DataFrame], pd.DataFrame | pd.Series], rows: pd.
         return pd.concat(kept) if kept else rows.iloc[:0], said
 
 
+def tried(ask: Callable[[pd.DataFrame], pd.Series], rows: pd.DataFrame) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each row: a batch that fails is asked row by row, so that one bad row costs no other its answer."""
+    try:
+        return [(a, None) for a in ask(rows)]
+    except Exception as e:
+        if len(rows) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [tried(ask, rows.iloc[i : i + 1])[0] for i in range(len(rows))]
+
+
+def json_answers(rows: DataFrame, ask: Callable[[pd.DataFrame], pd.Series], schema: str, into: str, enums: dict[str, tuple] | None = None, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """rows with the model's JSON answer as a struct of the schema, and `error`. Rows without an answer, or whose answer does
+    not fit the schema, are asked again after growing pauses; after the last attempt the struct is null and error says why."""
+    kind = _parse_datatype_string(schema)
+    told = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{into}` string, error string"
+
+    def wrong(text: str | None) -> str | None:
+        try:
+            value = json.loads(text or "")
+        except ValueError:
+            return "the answer is no JSON"
+        good = fits(value, kind) and all(value[name] in allowed for name, allowed in (enums or {}).items())
+        return None if good else "the answer does not fit its schema"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said: list = [(None, None)] * len(b)
+            todo = list(range(len(b)))
+            for n in range(attempts):
+                if not todo:
+                    break
+                time.sleep(pause * 2 ** (n - 1) if n else 0)
+                for i, (text, error) in zip(todo, tried(ask, b.iloc[todo]), strict=True):
+                    said[i] = (text, error or wrong(text))
+                todo = [i for i in todo if said[i][1]]
+            yield b.assign(**{into: [None if e else t for t, e in said], "error": [e for _, e in said]})
+
+    # answers are written: what uses them several times, or again after a lost executor, does not ask the model again
+    return materialize(rows.mapInPandas(run, told)).withColumn(into, F.from_json(into, schema))
+
+
 def _unit(x) -> list[float]:
     import numpy as np
 

@@ -31,10 +31,10 @@ def missing_models(required: Column, installed: Column) -> Column:
 
 
 def scene_records(scenes: DataFrame, events: str = "important_events") -> DataFrame:
-    """scenes (chunk_id, scale, start, end and a described scene's fields) with the events' seconds, which count from the
-    chunk's start, as seconds of the recording. Null events stay null."""
-    moved = F.transform(events, lambda e: e.withField("start_seconds", F.col("start") + e["start_seconds"]).withField("end_seconds", F.col("start") + e["end_seconds"]))
-    return scenes.withColumn(events, moved)
+    """scenes (chunk_id, scale, start, end and a described scene's fields) whose events also have absolute_start and
+    absolute_end, seconds of the recording; their own count from the chunk's start. Null events stay null."""
+    at = lambda e, side: F.col("start") + e[f"{side}_seconds"]
+    return scenes.withColumn(events, F.transform(events, lambda e: e.withField("absolute_start", at(e, "start")).withField("absolute_end", at(e, "end"))))
 
 
 def search_history(searches: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ CONFIRM = "valid boolean, confidence double, start_seconds double, end_seconds d
 BOUNDARY = "event_present boolean, contains_boundary boolean, confidence double, boundary_seconds double, state_before string, state_after string"
 OCR_SCAN = "items array<struct<start_seconds double, end_seconds double, best_frame_seconds double, confidence double, ocr_text string, target_description string, visual_evidence string, readable boolean>>"
 OCR_FRAME = "readings array<struct<image_index int, target_present boolean, ocr_text string, readable boolean, confidence double, target_description string, bbox struct<x1 double, y1 double, x2 double, y2 double>>>"
+OCR_CROP = "readings array<struct<image_index int, ocr_text string, readable boolean, confidence double>>"
+SPEECH = "words array<struct<start double, end double, word string>>, segments array<struct<start double, end double, text string>>"
 #: What enumerated fields may hold.
 ENUMS = {"executor": ("temporal_grounding", "visual_text_extraction"), "return_mode": ("all", "best")}
 
@@ -58,3 +60,19 @@ def _fields(schema: str):
     from pyspark.sql.types import _parse_datatype_string
 
     return _parse_datatype_string(schema).fields
+
+
+def fits(value, kind) -> bool:
+    """Whether a value read from JSON is of a Spark type: an object has exactly the type's fields, nothing is null, a whole
+    number may stand for a double, a truth value never for a number."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StructType):
+        return isinstance(value, dict) and set(value) == set(kind.names) and all(fits(value[f.name], f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return isinstance(value, list) and all(fits(v, kind.elementType) for v in value)
+    if isinstance(kind, T.BooleanType):
+        return isinstance(value, bool)
+    if isinstance(kind, T.StringType):
+        return isinstance(value, str)
+    return not isinstance(value, bool) and isinstance(value, int if isinstance(kind, T.IntegralType) else (int, float))

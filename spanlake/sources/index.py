@@ -1,4 +1,4 @@
-"""The persisted multi-scale index: chunks of every scale with their pooled vectors, the links between scales, and searches."""
+"""The persisted indexes: chunks of every scale with their pooled vectors and links, texts with vectors and term counts; searches."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.operators import retrieval
+from spanlake.operators.verify import ModelBackend, embed_texts
 from spanlake.operators.windows import SCALES, multiscale_chunks
+from spanlake.sources.scratch import materialize
 from spanlake.sources.tables import load_index, write_index
 
 #: Names that stand for all scales.
@@ -43,3 +45,23 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, k: int, s
     else:
         raise ValueError(f"{folder} has no scale {scale}, only {', '.join(order)}")
     return found.withColumns({"retrieval_mode": F.lit(mode), "retrieval_output_scale": F.lit(output), "retrieval_scale_order": F.array(*map(F.lit, order))})
+
+
+def build_text_index(rows: DataFrame, backend: ModelBackend, folder: str, signature: str) -> None:
+    """Texts (video_id, chunk_id, start, end, text) of scenes or transcript windows with their vectors and term counts, so that
+    neither is made again for a search. Blank texts are not indexed; the others keep their ids."""
+    texts = materialize(retrieval.spoken(rows).select("video_id", "chunk_id", "start", "end", "text").withColumn("doc_id", F.concat_ws("/", "video_id", "chunk_id")))
+    write_index({"texts": embed_texts(texts, backend), "terms": retrieval.term_counts(texts)}, folder, signature)
+
+
+def search_texts(spark: SparkSession, folder: str, queries: DataFrame, k: int, backend: ModelBackend | None = None, signature: str | None = None) -> DataFrame:
+    """The k best texts of each query (query_id, query) with video_id, chunk_id, start, end: by meaning if there is a model for
+    the query's vector, else by words."""
+    tables = load_index(spark, folder, signature)
+    texts = tables["texts"]
+    if backend is None:
+        found = retrieval.bm25_search(queries, texts.select("doc_id", "text"), k, tf=tables["terms"])
+    else:
+        asked = embed_texts(queries.select("query_id", "query"), backend, "query", "query", "qvec")
+        found = retrieval.knn(materialize(asked), texts, k, "doc_id")
+    return found.join(texts.select("doc_id", "video_id", "chunk_id", "start", "end", "text"), "doc_id").drop("doc_id")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.intervals import format_timestamp_precise, query_folder
 from spanlake.sources.scratch import materialize
@@ -150,11 +151,58 @@ def write_matches(matches: DataFrame, path: str, query: str = "query") -> None:
     matches.withColumn("query_folder", query_folder(F.col(query))).write.mode("overwrite").partitionBy("query_folder").json(path)
 
 
-def publish(matches: DataFrame) -> DataFrame:
-    """Without what only the server may see: paths become addresses, inner fields go."""
-    urls = {c: "url" if c == "path" else f"{c[: -len('_path')]}_url" for c in matches.columns if c == "path" or c.endswith("_path")}
-    out = matches.drop("results_file", "initial_candidates", "top_evidence_bins")
-    for old, new in urls.items():
-        relative = ~F.col(old).startswith("/") & ~F.col(old).contains("..")
-        out = out.withColumn(new, F.when(relative, F.concat(F.lit("/files/"), F.col(old)))).drop(old)
+def publish(results: DataFrame, root: str = "", base: str = "/files/", limit: int = 720) -> DataFrame:
+    """Results as others may see them, at every depth: results_file, initial_candidates and top_evidence_bins go, `path` and
+    `*_path` become `url` and `*_url` under base (null, and so absent from JSON, where a path leaves root), candidates keep
+    start, end and score, and an evidence_map longer than limit is drawn together. root "" takes relative paths only."""
+    return results.select(*[c.alias(name) for name, c in _public(results.schema, lambda n: F.col(f"`{n}`"), root.rstrip("/"), base, limit)])
+
+
+def _address(path: Column, root: str, base: str) -> Column:
+    inside = path if not root else F.when(path.startswith(f"{root}/"), F.substring(path, F.lit(len(root) + 2), F.length(path)))
+    outside = inside.startswith("/") | inside.rlike(r"(^|/)\.\.(/|$)") | (inside == "")
+    return F.when(~outside, F.concat(F.lit(base), inside))
+
+
+def _public(kind: T.StructType, field: Callable[[str], Column], root: str, base: str, limit: int) -> list[tuple[str, Column]]:
+    out = []
+    for f in kind.fields:
+        value, many = field(f.name), isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
+        if f.name in ("results_file", "initial_candidates", "top_evidence_bins"):
+            continue
+        if isinstance(f.dataType, T.StringType) and (f.name == "path" or f.name.endswith("_path")):
+            out.append((f"{f.name[:-4]}url", _address(value, root, base)))
+        elif many and f.name == "candidates":
+            out.append((f.name, _fields_of(value, [n for n in ("start", "end", "score") if n in f.dataType.elementType.names])))
+        elif many and f.name == "evidence_map":
+            out.append((f.name, _drawn_together(value, f.dataType.elementType, limit)))
+        else:
+            out.append((f.name, _public_value(value, f.dataType, root, base, limit)))
     return out
+
+
+def _public_value(value: Column, kind: T.DataType, root: str, base: str, limit: int) -> Column:
+    if isinstance(kind, T.StructType):
+        inner = [c.alias(name) for name, c in _public(kind, lambda n: value[n], root, base, limit)]
+        return F.when(value.isNotNull(), F.struct(*inner)) if inner else F.lit(None)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.ArrayType):
+        return F.transform(value, lambda x: _public_value(x, kind.elementType, root, base, limit))
+    return value
+
+
+def _fields_of(rows: Column, names: list[str]) -> Column:
+    return F.transform(rows, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
+def _greatest(rows: Column, name: str) -> Column:
+    return F.array_max(F.transform(rows, lambda x: x[name]))
+
+
+def _drawn_together(bins: Column, kind: T.StructType, limit: int) -> Column:
+    """At most limit bins: runs of equal number with the first start, the last end and the greatest of every other number."""
+    step = F.greatest(F.lit(1), F.ceil(F.size(bins) / F.lit(limit))).cast("int")
+    of = {"start": lambda run: run[0]["start"], "end": lambda run: F.element_at(run, -1)["end"]}
+    names = [f.name for f in kind.fields if isinstance(f.dataType, T.NumericType)]
+    one = lambda run: F.struct(*[(of[n](run) if n in of else _greatest(run, n)).alias(n) for n in names])
+    runs = F.transform(F.sequence(F.lit(1), F.size(bins), step), lambda i: one(F.slice(bins, i, step)))
+    return F.when(F.size(bins) > 0, runs).when(bins.isNotNull(), F.array().cast(T.ArrayType(T.StructType([f for f in kind.fields if f.name in names]))))

@@ -38,11 +38,11 @@ def test_candidate_times_leave_the_end_out(spark):
     assert windows.candidate_times(rows.where("id = 'c'"), 2.0).count() == 4
 
 
-def test_events_take_the_recordings_time(spark):
+def test_events_also_have_the_recordings_time(spark):
     schema = "chunk_id string, scale string, start double, end double, important_events array<struct<start_seconds:double,end_seconds:double,description:string>>"
     rows = spark.createDataFrame([("m0", "medium", 30.0, 60.0, [(1.0, 2.5, "door")]), ("m1", "medium", 45.0, 75.0, None)], schema)
     got = {r["chunk_id"]: r["important_events"] for r in views.scene_records(rows).collect()}
-    assert [tuple(e) for e in got["m0"]] == [(31.0, 32.5, "door")] and got["m1"] is None
+    assert [tuple(e) for e in got["m0"]] == [(1.0, 2.5, "door", 31.0, 32.5)] and got["m1"] is None
 
 
 def test_a_video_that_the_library_lacks_is_an_error(spark):
