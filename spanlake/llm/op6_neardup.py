@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import WordHashes, broadcast_under, materialize, table, with_row_key
+from spanlake.llm.common import WordHashes, bounded_batches, broadcast_under, materialize, table, with_row_key
 
 #: Fixed values of the contract.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -285,7 +285,7 @@ def _meet(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row."""
-    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = bounded_batches(docs).select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     signed = materialize(rows.mapInArrow(_signatures, SIGNATURE))
     usable = signed.where("doc_id is not null and set_key is not null")
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))

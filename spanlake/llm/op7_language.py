@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import residue, table
+from spanlake.llm.common import bounded_batches, residue, table
 
 #: Fixed values of the contract: rows with this remainder are held out.
 MODULUS, HELD_OUT, UND = 4, 2, "und"
@@ -132,7 +132,7 @@ def train(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE):
     """A model from rows (row id doc_id) that are not held out and have a language."""
     import numpy as np
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & (residue(F.col("doc_id"), MODULUS) != HELD_OUT) & F.col("text").isNotNull())
+    rows = bounded_batches(docs).where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & (residue(F.col("doc_id"), MODULUS) != HELD_OUT) & F.col("text").isNotNull())
     counts = rows.groupBy(lang).count().collect()
     if not counts:
         return [], None, None, None
@@ -147,7 +147,7 @@ def train(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE):
 def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
     """lang_pred, score, ambiguous, distance of every row of docs, after the columns named in keep (as k0, k1, ...)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = bounded_batches(docs).select(F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
 
     def run(batches) -> Iterator:
         import pyarrow as pa

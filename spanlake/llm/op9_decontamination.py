@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import broadcast_under, materialize, table
+from spanlake.llm.common import bounded_batches, broadcast_under, materialize, table
 
 WINDOW, PLAIN, SHARE, CONSISTENT = 5, 3, 0.5, 0.8
 #: An excerpt: words in a row, and plain ones among them.
@@ -233,7 +233,7 @@ def text_key() -> list:
 def _found(docs: DataFrame, bitmap: Bitmap) -> DataFrame:
     """Windows of the documents that the benchmark may have: FOUND, row being a number of the row."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("binary").alias("text"))
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("binary").alias("text"))
 
     def run(batches) -> Iterator:
         import numpy as np
