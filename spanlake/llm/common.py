@@ -35,6 +35,24 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def giving_back(run):
+    """run (batches to batches, for mapInArrow), after which the worker hands the memory it no longer uses back to the system:
+    workers wait for more tasks while the JVM works, and would else keep the most they ever had."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

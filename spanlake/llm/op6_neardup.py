@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import WordHashes, bounded_batches, broadcast_under, materialize, table, with_row_key
+from spanlake.llm.common import WordHashes, bounded_batches, broadcast_under, giving_back, materialize, table, with_row_key
 
 #: Fixed values of the contract.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("shingles").alias("sb"))
     whole = _salted(_salted(pairs, left, ["a"], "b", PARTNERS), right, ["b"], "a", PARTNERS).select("a", "b", "na", "nb", "ra", "rb", "sa", "sb")
-    return materialize(whole.mapInArrow(_links, "a long, b long").distinct())
+    return materialize(whole.mapInArrow(giving_back(_links), "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     """rep, n, token, place: the shingles by which a set can be found, places counted from 0 in order of rarity.
 
     Shingles that no other member has stand first and are only counted."""
-    tokens = sets.select("rep", "n", "shingles").mapInArrow(_tokens, "rep long, n long, token long")
+    tokens = sets.select("rep", "n", "shingles").mapInArrow(giving_back(_tokens), "rep long, n long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep", "n")
     met = tokens.join(shared, "token").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
@@ -286,7 +286,7 @@ def _meet(small: DataFrame, large: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row."""
     rows = bounded_batches(docs).select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    signed = materialize(rows.mapInArrow(_signatures, SIGNATURE))
+    signed = materialize(rows.mapInArrow(giving_back(_signatures), SIGNATURE))
     usable = signed.where("doc_id is not null and set_key is not null")
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = usable.join(classes, ["set_key"]).where("doc_id = rep")
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     members = materialize(banded.join(shared, "band").distinct())
     ids = broadcast_under(materialize(members.select("rep").distinct()), BROADCAST_IDS)
     traits = materialize(signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "b0", "b1", "b2", "b3").join(ids, "rep", "left_semi"))
-    sets = materialize(rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_whole_sets, SET))
+    sets = materialize(rows.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(giving_back(_whole_sets), SET))
 
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = pairs.join(traits.alias("x"), F.col("a") == F.col("x.rep")).join(traits.alias("y"), F.col("b") == F.col("y.rep"))

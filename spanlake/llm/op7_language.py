@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bounded_batches, residue, table
+from spanlake.llm.common import bounded_batches, giving_back, residue, table
 
 #: Fixed values of the contract: rows with this remainder are held out.
 MODULUS, HELD_OUT, UND = 4, 2, "und"
@@ -140,7 +140,7 @@ def train(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE):
     sample = max(1, min(sample, TEXTS // len(counts)))
     rates = F.create_map(*[F.lit(x) for k, n in counts for x in (k, min(1.0, sample / n))])
     drawn = rows.where(u < rates[F.col(lang)]).select(F.col("doc_id").cast("long"), F.col(lang).cast("string"), F.col("text").cast("binary"))
-    got = sorted(map(tuple, drawn.mapInArrow(_sparse, "row decimal(38,0), lang string, at binary, value binary").collect()))
+    got = sorted(map(tuple, drawn.mapInArrow(giving_back(_sparse), "row decimal(38,0), lang string, at binary, value binary").collect()))
     return fit([(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.float32)) for r in got], [r[1] for r in got]) if got else ([], None, None, None)
 
 
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model, *keep: str) -> DataFrame:
                 at = end
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}lang_pred string, score double, ambiguous boolean, distance double")
+    return rows.mapInArrow(giving_back(run), f"{schema}lang_pred string, score double, ambiguous boolean, distance double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bounded_batches, broadcast_under, materialize, table
+from spanlake.llm.common import bounded_batches, broadcast_under, giving_back, materialize, table
 
 WINDOW, PLAIN, SHARE, CONSISTENT = 5, 3, 0.5, 0.8
 #: An excerpt: words in a row, and plain ones among them.
@@ -188,7 +188,7 @@ def anchors_of(owners: list[int], places: list[int], whole: bool) -> list[bool]:
 def index_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The benchmark's windows (ITEM) with `anchor`."""
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("binary").alias("text"))
-    each = materialize(rows.mapInArrow(_item_windows, ITEM))
+    each = materialize(rows.mapInArrow(giving_back(_item_windows), ITEM))
     owners = each.groupBy("hash").agg(F.countDistinct("item").alias("owners"))
 
     def run(group):
@@ -263,7 +263,7 @@ def _found(docs: DataFrame, bitmap: Bitmap) -> DataFrame:
                 columns = [c.take(repeat) for c in batch.columns[:4]] + [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(giving_back(run), FOUND)
 
 
 def _matched(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
