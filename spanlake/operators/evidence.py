@@ -1,7 +1,8 @@
 """From ranked hits to a timeline: calibration, noisy-or over bins, channels, smoothing, and the weighted score.
 
-Keys (video_id, query_id by default) run through everything; all steps are hash aggregations on them and the bin, so one
-long video or one common query is spread over the bins' tasks.
+Keys (video_id, query_id by default) run through everything; all steps are aggregations on them and the bin, so one long
+video or one common query is spread over the bins' tasks. Products and sums are taken in a fixed order: candidates whose
+scores differ in the last digit only would else be numbered as partitions happen to arrive.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 KEYS = ["video_id", "query_id"]
 CHANNELS = ("video", "metadata", "transcript_semantic", "transcript_bm25")
 NEGATIVE = "negative"
-#: How much negative evidence takes away; what a hit keeps at importance 0; the channel mix of peak and mean.
-NEGATIVE_WEIGHT, LEAST_FACTOR, PEAK_SHARE, SUPPORTED = 0.5, 0.55, 0.8, 0.05
+#: How much negative evidence takes away; what a hit keeps at importance 0 and gains with it; the channel mix
+#: of peak and mean (both parts as written: 1 - 0.8 is not 0.2 in doubles); ranks multiplied at a time.
+NEGATIVE_WEIGHT, LEAST_FACTOR, MORE_FACTOR, PEAK_SHARE, MEAN_SHARE, SUPPORTED, BLOCK = 0.5, 0.55, 0.45, 0.8, 0.2, 0.05, 4096
 
 
 def rank_hits(hits: DataFrame, keys: list[str] = KEYS, tie: str = "chunk_id") -> DataFrame:
@@ -56,18 +58,25 @@ def expand_bins(hits: DataFrame, size: float = 2.0) -> DataFrame:
     return out.withColumn("overlap_fraction", common / F.greatest(F.lit(1e-9), b1 - b0)).where(F.col("overlap_fraction") > 0).drop("__s", "__e", "__lo", "__hi")
 
 
+def _in_order(values: Column) -> Column:
+    """Product of the values p of an array of structs, in the structs' order."""
+    return F.aggregate(F.array_sort(values), F.lit(1.0), lambda product, x: product * x["p"])
+
+
 def noisy_or(binned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row for each ranking and bin: q = 1 - product(1 - contribution)."""
-    contribution = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated") * (LEAST_FACTOR + (1 - LEAST_FACTOR) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance")))))) * F.sqrt("overlap_fraction")
-    return binned.groupBy(*keys, "channel", "ranking", "bin_id").agg((1 - F.product(1 - contribution)).alias("q"), F.count("*").alias("hits"))
+    """One row for each ranking and bin: q = 1 - product(1 - contribution), by rank in blocks, however many hits there are."""
+    contribution = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated") * (LEAST_FACTOR + MORE_FACTOR * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance")))))) * F.sqrt("overlap_fraction")
+    by = [*keys, "channel", "ranking", "bin_id"]
+    blocks = binned.groupBy(*by, F.floor(F.col("rank") / BLOCK).alias("__block")).agg(_in_order(F.collect_list(F.struct("rank", (1 - contribution).alias("p")))).alias("p"), F.count("*").alias("hits"))
+    return blocks.groupBy(*by).agg((1 - _in_order(F.collect_list(F.struct("__block", "p")))).alias("q"), F.sum("hits").alias("hits"))
 
 
 def channel_map(ranked: DataFrame, rankings: DataFrame, keys: list[str] = KEYS, *keep: str) -> DataFrame:
     """Of noisy_or's rows: value = 0.8 peak + 0.2 mean over the channel's rankings, support = rankings above 0.05.
 
     rankings: keys, channel, n_rankings, counting every ranking that has a hit, wherever it lies, and the columns of keep."""
-    sums = ranked.groupBy(*keys, "channel", "bin_id").agg(F.max("q").alias("peak"), F.sum("q").alias("total"), F.count(F.when(F.col("q") > SUPPORTED, 1)).alias("support"))
-    value = PEAK_SHARE * F.col("peak") + (1 - PEAK_SHARE) * F.col("total") / F.col("n_rankings")
+    sums = ranked.groupBy(*keys, "channel", "bin_id").agg(F.max("q").alias("peak"), F.aggregate(F.array_sort(F.collect_list(F.struct("ranking", "q"))), F.lit(0.0), lambda total, x: total + x["q"]).alias("total"), F.count(F.when(F.col("q") > SUPPORTED, 1)).alias("support"))
+    value = PEAK_SHARE * F.col("peak") + MEAN_SHARE * F.col("total") / F.col("n_rankings")
     return sums.join(rankings, [*keys, "channel"]).select(*keys, "channel", *keep, "bin_id", value.alias("value"), "support")
 
 
@@ -81,7 +90,10 @@ def smooth(series: DataFrame, keys: list[str], value: str = "value", n: str = "n
     given = series.withColumn("__o", F.explode(offsets)).withColumn("__to", F.col("bin_id") + F.col("__o.d"))
     given = given.where((F.col("__to") >= 0) & (F.col("__to") < F.col(n)))
     own = [F.sum(F.when(F.col("__o.d") == 0, F.col(c)).otherwise(0)).alias(c) for c in carry]
-    sums = given.groupBy(*keys, n, F.col("__to").alias("bin_id")).agg(F.sum(F.col("__o.w") * F.col(value)).alias(value), *own)
+    # each neighbour gives one number, so these sums are exact in any order, and adding them up goes by place
+    near = [F.sum(F.when(F.col("__o.d") == d, F.col("__o.w") * F.col(value)).otherwise(0.0)).alias(f"__{radius + d}") for d in range(-radius, radius + 1)]
+    sums = given.groupBy(*keys, n, F.col("__to").alias("bin_id")).agg(*near, *own)
+    sums = sums.withColumn(value, reduce(Column.__add__, [F.col(f"__{i}") for i in range(2 * radius, -1, -1)])).drop(*[f"__{i}" for i in range(2 * radius + 1)])
     reach = reduce(Column.__add__, [F.when((F.col("bin_id") + d >= 0) & (F.col("bin_id") + d < F.col(n)), float(radius + 1 - abs(d))).otherwise(0.0) for d in range(-radius, radius + 1)])
     return sums.withColumn(value, F.col(value) / reach)
 
