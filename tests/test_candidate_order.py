@@ -21,7 +21,7 @@ def crowded(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["candidate_islands", "iou_recall", "predicate_peaks"])
+@pytest.mark.parametrize("name", ["candidate_islands", "iou_recall", "predicate_peaks", "window_score"])
 def test_crowded_recordings_are_numbered_as_by_sql(spark, crowded, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{crowded}/events.parquet'")
