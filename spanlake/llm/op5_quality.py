@@ -5,8 +5,9 @@ Features of a text are the shares of its hashed word uni- and bigrams, and of th
 before. A score is the sparse dot product of these with the weights, as a probability of label 1.
 
 The classifier learns from about `sample` different labelled texts at most, drawn by a hash of id and text (a bounded fit: rows
-that repeat an id, a text and a label are one); features of the sample are made on the executors, at most one number for each
-of the 2^BITS, and read one after another. Every text is scored whole; the weights are one vector of fixed size.
+that repeat an id, a text and a label are one). Labels meet ids and hashes of texts only, so the sample's texts are all that is
+shuffled; features of the sample are made on the executors, at most one number for each of the 2^BITS, and read one after
+another. Every text is scored whole; the weights are one vector of fixed size.
 
 Defined results: a null or blank text has the bias as its only feature; ids without label or with a null or other label
 are scored only; an id with both labels is learnt with both; without any label every score is 0.5; null ids are scored;
@@ -108,12 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     import numpy as np
 
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (residue(F.col("doc_id"), MODULUS) != HELD_OUT)).select("doc_id", F.col(label).cast("int").alias("__label")).distinct()
-    named = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").withColumn("hash", F.xxhash64("text"))
-    count = named.agg(F.approx_count_distinct(F.struct("doc_id", "__label", "hash"), 0.02)).first()[0]
+    hashed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
+    keys = hashed.select("doc_id", "hash")  # what is joined with the labels, of which there may be any number, goes without texts
+    count = keys.join(known, "doc_id").agg(F.approx_count_distinct(F.struct("doc_id", "__label", "hash"), 0.02)).first()[0]
     if not count:
         return None
-    u = F.xxhash64("doc_id", "hash", F.lit("quality")).cast("double") / F.lit(2.0**64) + 0.5
-    drawn = named.where(u < min(1.0, sample / count)).dropDuplicates(["doc_id", "__label", "hash"])
+    lucky = F.xxhash64("doc_id", "hash", F.lit("quality")).cast("double") / F.lit(2.0**64) + 0.5 < min(1.0, sample / count)
+    chosen = keys.where(lucky).join(known, "doc_id").distinct()
+    drawn = hashed.where(lucky).join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "__label", "hash"])
     got = drawn.select("doc_id", "text", "__label").mapInArrow(_counted, "doc_id long, label int, index binary, count binary, words long").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
     return ftrl([(r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32), r[4]) for r in got]) if got else None
