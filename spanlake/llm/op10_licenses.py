@@ -1,6 +1,7 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every rolling k-gram (k words) of a document is hashed and joined with the k-gram positions of the templates; each hit
+Every rolling k-gram (k words) of a document whose words stand at its places in some template is hashed and joined with the
+k-gram positions of the templates (others can't hit); each hit
 votes for the diagonal document position - template position. Neighbouring diagonals of one template (words left out or
 put in) are merged into spans, and a span is verified by the distinct template positions that voted for it: all of them
 on one diagonal for a base phrase, a share of them for the longer license texts.
@@ -16,6 +17,8 @@ same id and text each get the same result. Texts of any length are scanned whole
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +50,34 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(lower_ascii(text), F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _grams(words: Column) -> Column:
-    """Hashes of the rolling k-grams in order."""
-    gram = lambda i: F.xxhash64(*[F.element_at(words, (i + j).cast("int")) for j in range(K)])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - K + 1, F.lit(1)))
-    return F.when(F.size(words) >= K, F.transform(starts, gram)).otherwise(F.array().cast("array<bigint>"))
+def _gram(words: Column, at: Column) -> Column:
+    """Hash of the k-gram that begins at the word numbered at, from 1."""
+    return F.xxhash64(*[F.element_at(words, (at + j).cast("int")) for j in range(K)])
+
+
+def _starts(words: Column, vocabulary: list[set[str]] | None = None) -> Column:
+    """Where k-grams begin, from 1; with a vocabulary only those whose j-th word is among its j-th words."""
+    starts = F.when(F.size(words) >= K, F.sequence(F.lit(1), F.greatest(F.size(words) - K + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    if vocabulary is None:
+        return starts
+    return F.filter(starts, lambda i: reduce(Column.__and__, [F.element_at(words, (i + j).cast("int")).isin(sorted(v)) for j, v in enumerate(vocabulary)]))
+
+
+def template_lines(texts: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    return [(text, label, "base") for text, label in BASE.items()] + [(text, label, "text") for label, text in (TEXTS if texts is None else texts).items()]
+
+
+def _vocabulary(texts: dict[str, str] | None = None) -> list[set[str]]:
+    """The j-th words of the templates' k-grams, for each j: a k-gram without them hits no template."""
+    lines = [text.split(" ") for text, _, _ in template_lines(texts)]
+    return [{w for words in lines for w in words[j : len(words) - K + 1 + j]} for j in range(K)]
 
 
 def template_grams(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """gram, label, kind (base, text, mark), pos of the k-gram and total of them."""
-    lines = [(text, label, "base") for text, label in BASE.items()] + [(text, label, "text") for label, text in (TEXTS if texts is None else texts).items()]
-    values = ", ".join(f"('{text}', '{label}', '{kind}')" for text, label, kind in lines)
+    values = ", ".join(f"('{text}', '{label}', '{kind}')" for text, label, kind in template_lines(texts))
     templates = spark.sql(f"SELECT split(text, ' ') AS words, label, kind FROM VALUES {values} AS t(text, label, kind)")
-    grams = templates.select(F.posexplode(_grams(F.col("words"))).alias("pos", "gram"), "label", "kind", (F.size("words") - K + 1).alias("total"))
+    grams = templates.select(F.posexplode(F.transform(_starts(F.col("words")), lambda i: _gram(F.col("words"), i))).alias("pos", "gram"), "label", "kind", (F.size("words") - K + 1).alias("total"))
     return grams.unionByName(spark.sql("SELECT 0 AS pos, 0L AS gram, '' AS label, 'mark' AS kind, 0 AS total"))
 
 
@@ -70,8 +88,10 @@ def license_spans(docs: DataFrame, key: list[str], text: str = "text", texts: di
     label -> license text in lower-case words, of any length, instead of TEXTS.
     """
     rows = docs.select(*key, words_of(F.col(text)).alias("__words"))
-    marked = F.concat(_grams(F.col("__words")), F.array(F.lit(0).cast("bigint")))
-    grams = rows.select(*key, F.size("__words").cast("long").alias("n_words"), F.posexplode(marked).alias("__at", "gram"))
+    words = F.col("__words")
+    found = F.transform(_starts(words, _vocabulary(texts)), lambda i: F.struct((i - 1).alias("at"), _gram(words, i).alias("gram")))
+    marked = F.concat(found, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("gram"))))
+    grams = rows.select(*key, F.size(words).cast("long").alias("n_words"), F.explode(marked).alias("__gram")).select(*key, "n_words", F.col("__gram.at").alias("__at"), F.col("__gram.gram").alias("gram"))
     hits = grams.join(F.broadcast(template_grams(docs.sparkSession, texts)), "gram")
     hits = hits.withColumn("diagonal", F.when(F.col("kind") == "mark", F.lit(0)).otherwise(F.col("__at") - F.col("pos"))).withColumn("block", F.floor(F.col("pos") / 64))
     keys = [*key, "n_words", "label", "kind", "total"]

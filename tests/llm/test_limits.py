@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanlake.llm import op5_quality
+from spanlake.llm import op5_quality, op10_licenses
 
 
 def _shuffled(spark) -> int:
@@ -27,3 +27,14 @@ def test_op5_labels_move_the_texts_of_the_sample_only(spark):
         assert _shuffled(spark) - before < size / 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_op10_takes_only_grams_of_template_words(spark):
+    text = "plain words stand here " * 50 + "released under the mit license and more plain words " + "under by the " * 3
+    words = text.split()
+    lines = [t.split() for t, _, _ in op10_licenses.template_lines()]
+    first, second = ({w for t in lines for w in t[j : len(t) - 1 + j]} for j in range(2))
+    want = [i + 1 for i in range(len(words) - 1) if words[i] in first and words[i + 1] in second]
+    rows = spark.createDataFrame([(text,), ("one",), ("",)], "text string").select(op10_licenses.words_of(F.col("text")).alias("w"))
+    got = [r[0] for r in rows.select(op10_licenses._starts(F.col("w"), op10_licenses._vocabulary())).collect()]
+    assert got == [want, [], []] and 0 < len(want) < 20
