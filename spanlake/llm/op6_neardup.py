@@ -317,11 +317,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     that counts after those with ids, so copies without ids go too."""
     own = F.shiftrightunsigned(F.col("__row"), 2) + F.lit(1 << 62)
     named = with_row_key(docs, "__row").withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), own))
-    found = near_duplicates(named, "__doc").where("kept").groupBy(F.col("doc_id").alias("__id")).count()
-    ids = materialize(found)
+    found = near_duplicates(named, "__doc").groupBy(F.col("doc_id").alias("__id")).agg(F.count_if("kept").alias("count"))
+    # the ids that go, mostly fewer than those that stay: while they fit a broadcast, no text has to be shuffled
+    others = materialize(found.where("count <> 1"))
     same = F.col("__doc") == F.col("__id")
-    once, often = ids.where("count = 1"), ids.where("count > 1")
-    kept = named.join(once, same, "left_semi")
+    often = others.where("count > 1")
+    kept = named.join(broadcast_under(others.select("__id"), BROADCAST_IDS), same, "left_anti")
     if often.limit(1).count():  # rows that share an id: the one with the least text stands for them
         first = named.join(often, same, "left_semi").select("__doc", "text", "__row").groupBy("__doc").agg(F.min(F.struct("text", "__row"))["__row"].alias("__first"))
         first = first.withColumnRenamed("__doc", "__of")

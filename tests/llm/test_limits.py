@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanlake.llm import op5_quality, op10_licenses
+from spanlake.llm import op5_quality, op6_neardup, op10_licenses
 
 
 def _shuffled(spark) -> int:
@@ -38,3 +38,19 @@ def test_op10_takes_only_grams_of_template_words(spark):
     rows = spark.createDataFrame([(text,), ("one",), ("",)], "text string").select(op10_licenses.words_of(F.col("text")).alias("w"))
     got = [r[0] for r in rows.select(op10_licenses._starts(F.col("w"), op10_licenses._vocabulary())).collect()]
     assert got == [want, [], []] and 0 < len(want) < 20
+
+
+def test_op6_dropping_copies_does_not_move_the_texts_that_stay(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.sha2(F.concat((F.col("id") % 990).cast("string"), i.cast("string")), 256)))
+    folder = spark.conf.get("spark.checkpoint.dir") + "/op6"
+    spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text")).write.mode("overwrite").parquet(folder)
+    docs, size = spark.read.parquet(folder), sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than may be broadcast unasked
+    try:
+        kept = op6_neardup.drop_near_duplicates(docs)
+        before = _shuffled(spark)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(990))
+        assert _shuffled(spark) - before < size / 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
