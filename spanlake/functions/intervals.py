@@ -17,6 +17,12 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(hull > 0, overlap(s1, e1, s2, e2) / hull).otherwise(0.0)
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded as C and DuckDB do, by a product in doubles; F.round takes the shortest decimals of the value instead, and of
+    a half that doubles don't hold (0.5005, three places) it makes another number."""
+    return F.round(value * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def time_bin(seconds: Column, size: float) -> Column:
     return F.floor(seconds / F.lit(float(size))).cast("long")
 

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[iv.rounded(F.col(c), places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 # DuckDB building blocks, each a list of common table expressions after the one before
