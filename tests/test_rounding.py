@@ -15,3 +15,10 @@ def differing(spark, folder, name):
 
 def test_predicate_peaks_are_rounded_as_by_sql(spark):
     assert not differing(spark, "/root/testdata/sf0.01", "predicate_peaks")
+
+
+def test_window_scores_are_rounded_as_by_sql(spark, tmp_path):
+    rows = [(1, 480, "purchase", 41), (2, 960, "click", 91)]  # one hit a recording, whose score has a half at the tenth place
+    values = ", ".join(f"({n}, TIMESTAMP '2024-01-01' + INTERVAL {minutes} MINUTE, {n}, '{kind}', 1.0::DOUBLE, '{{\"k\": {k}}}')" for n, minutes, kind, k in rows)
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert not differing(spark, str(tmp_path), "window_score")
