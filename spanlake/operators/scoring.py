@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.intervals import iou
+from spanlake.functions.intervals import iou, rounded
 from spanlake.functions.text import answer_key
 
 
@@ -17,7 +17,7 @@ def score_rows(labels: DataFrame, matches: DataFrame, hit: float = 0.3, better:
     both = labels.join(matches, "id", "left")
     value = F.when(F.col("true_text").isNull(), iou(F.col("start"), F.col("end"), F.col("true_start"), F.col("true_end")))
     truth, said = answer_key(F.col("true_text")), answer_key(F.col("text"))
-    scored = both.withColumns({"__iou": F.round(value, 3), "__raw": value, "__exact": (said == truth) & (F.length(truth) > 0), "__in": said.contains(truth) & (F.length(truth) > 0)})
+    scored = both.withColumns({"__iou": rounded(value, 3), "__raw": value, "__exact": (said == truth) & (F.length(truth) > 0), "__in": said.contains(truth) & (F.length(truth) > 0)})
     each = scored.groupBy("id").agg(
         F.coalesce(F.max("__iou"), F.lit(0.0)).alias("best_iou"),
         F.coalesce(F.min_by("__iou", "match_id"), F.lit(0.0)).alias("top1_iou"),

@@ -3,6 +3,7 @@
 import duckdb
 
 from spanlake import queries
+from spanlake.operators import scoring
 
 
 def differing(spark, folder, name):
@@ -22,3 +23,11 @@ def test_window_scores_are_rounded_as_by_sql(spark, tmp_path):
     values = ", ".join(f"({n}, TIMESTAMP '2024-01-01' + INTERVAL {minutes} MINUTE, {n}, '{kind}', 1.0::DOUBLE, '{{\"k\": {k}}}')" for n, minutes, kind, k in rows)
     duckdb.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     assert not differing(spark, str(tmp_path), "window_score")
+
+
+def test_overlaps_are_rounded_as_by_sql(spark):
+    ends = list(range(1, 2000, 2))
+    labels = spark.createDataFrame([(k, 0.0, 2000.0, None) for k in ends], "id long, true_start double, true_end double, true_text string")
+    matches = spark.createDataFrame([(k, 0, 0.0, float(k), None) for k in ends], "id long, match_id long, start double, end double, text string")
+    got = {(r["id"], r["best_iou"], r["top1_iou"]) for r in scoring.score_rows(labels, matches).collect()}
+    assert got == set(duckdb.execute("SELECT k, round(k / 2000::DOUBLE, 3), round(k / 2000::DOUBLE, 3) FROM range(1, 2000, 2) t(k)").fetchall())
