@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.sources.scratch import materialize, scratch_dir  # noqa: F401
+from spanlake.sources.scratch import give_back, materialize, scratch_dir  # noqa: F401
 
 #: The white space that ends a word, as bytes.split() has it too (\x20 \x09-\x0D).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,12 +43,7 @@ def giving_back(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return wrapped
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 
+#: Seconds between two times that the driver gives memory back, and when it last did.
+REST = 10.0
+_rested = [0.0]
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir as the cluster names it.
@@ -27,12 +36,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def give_back() -> None:
+    """This Python process hands the memory that it no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def _trim_native(spark: SparkSession) -> str:
+    """The C library below the driver's JVM hands back what it holds free; called by the interface's method, as py4j sees only
+    the server's own class, which is closed to it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    array = lambda kind, *values: [(a := gateway.new_array(kind, len(values))), *[a.__setitem__(i, v) for i, v in enumerate(values)]][0]
+    named = jvm.java.lang.Class.forName
+    types = array(jvm.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    values = array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String))
+    return named("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
+def rest_driver(spark: SparkSession) -> bool:
+    """The driver's JVM and Python hand back what they no longer use, at most every REST seconds; whether they did.
+
+    Between steps little of the JVM's heap is in use, but it stays as large as plans, events and task results of the step
+    before once made it, and so do the system's buffers of threads that have gone. The collection also lets Spark delete
+    the shuffles and broadcasts of steps that are over."""
+    if time.monotonic() - _rested[0] < REST:
+        return False
+    give_back()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # a JVM without this command
+        _trim_native(spark)
+    _rested[0] = time.monotonic()
+    return True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet under the scratch folder and read them back, so that a lost executor costs its tasks only."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/spanlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    rest_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
