@@ -64,8 +64,9 @@ def window_value(scores: Column) -> Column:
     """0.55 peak + 0.35 mean of the best quarter + 0.10 mean of an array of scores; 0 for none."""
     ordered, n = F.sort_array(scores, asc=False), F.size(scores)
     quarter = F.greatest(F.lit(1), F.ceil(n * F.lit(0.25))).cast("int")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    value = F.lit(0.55) * F.element_at(ordered, 1) + F.lit(0.35) * total(F.slice(ordered, 1, quarter)) / quarter + F.lit(0.10) * total(ordered) / n
+    # a mean first, then its share: the other way round a sum ending in a half at a rounded place can fall to its other side
+    mean = lambda x, size: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / size
+    value = F.lit(0.55) * F.element_at(ordered, 1) + F.lit(0.35) * mean(F.slice(ordered, 1, quarter), quarter) + F.lit(0.10) * mean(ordered, n)
     return F.when(n > 0, value).otherwise(0.0)
 
 

@@ -25,6 +25,13 @@ def test_window_scores_are_rounded_as_by_sql(spark, tmp_path):
     assert not differing(spark, str(tmp_path), "window_score")
 
 
+def test_window_scores_take_shares_of_means_as_sql_does(spark, tmp_path):
+    rows = [(1, 562, 22.68, 57), (2, 574, 27.69, 50)]  # one channel, so nothing hangs on the order in which SQL adds channels up
+    values = ", ".join(f"({n}, TIMESTAMP '2024-01-01' + INTERVAL {hour} HOUR, 1, 'purchase', {value}::DOUBLE, '{{\"k\": {k}}}')" for n, hour, value, k in rows)
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert not differing(spark, str(tmp_path), "window_score")
+
+
 def test_overlaps_are_rounded_as_by_sql(spark):
     ends = list(range(1, 2000, 2))
     labels = spark.createDataFrame([(k, 0.0, 2000.0, None) for k in ends], "id long, true_start double, true_end double, true_text string")
