@@ -15,10 +15,12 @@ from spanlake.llm.op6_neardup import drop_near_duplicates
 from spanlake.llm.op7_language import keep_identified
 from spanlake.llm.op8_mixing import apply_mix
 from spanlake.llm.op9_decontamination import drop_leaks
+from spanlake.sources.scratch import rest_driver
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language go on; `und` ones, without text or without a letter, are rejected."""
+    rest_driver(spark)  # the other stages do so where they write their first table
     return keep_identified(docs)
 
 

@@ -11,11 +11,13 @@ import uuid
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
-#: Seconds between two times that the driver gives memory back, and when it last did.
+#: Seconds between two times that driver and executors give memory back, and when they last did.
 REST = 10.0
 _rested = [0.0]
 
@@ -61,7 +63,7 @@ def rest_driver(spark: SparkSession) -> bool:
 
     Between steps little of the JVM's heap is in use, but it stays as large as plans, events and task results of the step
     before once made it, and so do the system's buffers of threads that have gone. The collection also lets Spark delete
-    the shuffles and broadcasts of steps that are over."""
+    the shuffles and broadcasts of steps that are over. The executors follow."""
     if time.monotonic() - _rested[0] < REST:
         return False
     give_back()
@@ -69,14 +71,29 @@ def rest_driver(spark: SparkSession) -> bool:
     jvm.System.gc()
     with contextlib.suppress(Py4JError):  # a JVM without this command
         _trim_native(spark)
+    rest_executors(spark)
     _rested[0] = time.monotonic()
     return True
 
 
+def rest_executors(spark: SparkSession) -> int:
+    """The executors' JVMs collect their garbage, so that their heaps shrink to a few times what is in use; how many were asked.
+
+    A heap grows with what a step allocates, not with what it needs at once, and stays so while Python workers fill up beside
+    it. A task for each executor, which the scheduler deals out one by one over those that are free; one that is missed keeps
+    its heap until the next time."""
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # without the driver, which is all there is in local mode
+    if n > 0:
+        with contextlib.suppress(PySparkException):  # where calls into the JVM are not allowed
+            spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    return n
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet under the scratch folder and read them back, so that a lost executor costs its tasks only."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/spanlake-{uuid.uuid4().hex}"
+    rest_driver(spark)
     df.write.parquet(path)
     _written.append(path)
     rest_driver(spark)
